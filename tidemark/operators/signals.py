@@ -40,12 +40,17 @@ def running_maximum(x: np.ndarray, reach: int) -> np.ndarray:
 
 
 def local_peaks(values: np.ndarray, half_width: int) -> np.ndarray:
-    """True where a sample is the maximum of its neighbourhood and no earlier sample there equals it."""
+    """True where a sample is the maximum of its neighbourhood and no earlier sample there equals it.
+
+    The first and the last sample are never peaks: the signal is not seen falling on both sides.
+    """
     x = np.where(np.isnan(values), -np.inf, values)
     none = np.array([-np.inf])
     earlier = np.concatenate([none, running_maximum(x, half_width)[:-1]])
     later = np.concatenate([running_maximum(x[::-1], half_width)[::-1][1:], none])
-    return (x > earlier) & (x >= later) & ~np.isnan(values)
+    peaks = (x > earlier) & (x >= later) & ~np.isnan(values)
+    peaks[[0, -1]] = False
+    return peaks
 
 
 def moving_mean(values: np.ndarray, half_width: int) -> np.ndarray:
