@@ -301,16 +301,17 @@ def phase_seconds(
     """Total, task and break seconds per session from the times at which phases begin."""
     linked = with_previous(changes, [key], [at], time_chunk(at, chunk_s), [at, phase])
 
-    def seconds(c: Column) -> Column:
-        return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
-
-    spent = seconds(F.col(at)) - seconds(F.col(f"_prev.{at}"))
+    # Whole microseconds are summed, so the result does not depend on the order of the rows.
+    spent = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(f"_prev.{at}").cast("timestamp"))
     left = F.col(f"_prev.{phase}")
-    zero = F.lit(0.0)
+
+    def seconds(micros: Column) -> Column:
+        return F.coalesce(F.sum(micros), F.lit(0)) / F.lit(1e6)
+
     return linked.groupBy(key).agg(
-        F.coalesce(F.sum(spent), zero).alias("total_seconds"),
-        F.coalesce(F.sum(F.when(is_task_phase(left), spent)), zero).alias("task_seconds"),
-        F.coalesce(F.sum(F.when(left == "break", spent)), zero).alias("break_seconds"),
+        seconds(spent).alias("total_seconds"),
+        seconds(F.when(is_task_phase(left), spent)).alias("task_seconds"),
+        seconds(F.when(left == "break", spent)).alias("break_seconds"),
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import video
+from tidemark.plans import signals, study, video
 
-_PARTS = [video]
+_PARTS = [video, signals, study]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -250,8 +250,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = finals(spark, sf_dir)
 
     def listed(make, keep=None):
-        rows = F.col("lines") if keep is None else F.filter("lines", keep)
-        return F.coalesce(F.transform(rows, make), F.transform(F.array(), make))
+        return F.transform(F.col("lines") if keep is None else F.filter("lines", keep), make)
 
     def trial(e):
         return F.struct(

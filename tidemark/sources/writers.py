@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, for results that several later steps read.
+
+    Cuts the lineage in storage that survives the loss of executors.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def feature_rows(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Columns in sink order: metadata, model features, monitoring. Absent ones get '' or 0."""
     monitoring = [c for c in config.monitoring_features if c in df.columns]
