@@ -163,8 +163,8 @@ def bundle_rows(sessions: DataFrame, delayed: DataFrame, exported_at: Column | N
             F.col("participantId").alias("participant_id"),
             at.alias("exported_at"),
             F.lit(kind).alias("kind"),
-            F.col(order).alias("sort_key"),
-            F.col("recordId").alias("record_id"),
+            F.col(order).cast("string").alias("sort_key"),
+            F.col("recordId").cast("string").alias("record_id"),
             F.to_json(F.struct("*")).alias("record"),
         )
 

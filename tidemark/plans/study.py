@@ -454,13 +454,13 @@ ORACLES = {
     "export_interventions": f"""WITH {SESSIONS_SQL} SELECT {_HEAD}, timestamp_ms, session_time_s, phase, 'micro_break_60s' AS type,
         CASE WHEN tax >= 0.075 THEN 'applied' ELSE 'dismissed' END AS outcome, round(discount * 10, 6) AS cli, round(discount * 5, 6) AS smoothed_cli,
         round(1 - tax, 6) AS valid_frame_ratio, CASE WHEN tax >= 0.075 THEN 'break taken' ELSE '' END AS details FROM flat WHERE tax >= 0.065""",
-    "export_tlx": f"""WITH {SESSIONS_SQL} SELECT {_HEAD}, round(price / 1e4, 6) AS mental_demand, round(price / 2e4, 6) AS physical_demand, round(price / 3e4, 6) AS temporal_demand,
-        round(price / 4e4, 6) AS performance, round(price / 5e4, 6) AS effort, round(price / 6e4, 6) AS frustration FROM lined WHERE status = 'F'""",
+    "export_tlx": f"""WITH {SESSIONS_SQL} SELECT {_HEAD}, round(price / 3e4, 6) AS mental_demand, round(price / 7e4, 6) AS physical_demand, round(price / 9e4, 6) AS temporal_demand,
+        round(price / 1.1e5, 6) AS performance, round(price / 1.3e5, 6) AS effort, round(price / 1.7e5, 6) AS frustration FROM lined WHERE status = 'F'""",
     "export_delayed": f"""WITH {SESSIONS_SQL} SELECT 'd' || record_id AS delayed_record_id, record_id AS linked_session_record_id, participant_id, session_number, condition, form,
         delayed_due_at AS due_at, CAST(started_at AS VARCHAR) AS completed_at, kind, difficulty, block_index, item_id, cue, target, correct, reaction_time_ms,
         selected_choice, response_text, recognition_choices FROM flat WHERE NOT delayed_pending AND kind <> 'learning'""",
-    "export_bundles": f"""WITH {SESSIONS_SQL} SELECT participant_id, 'session' AS kind, started_at AS sort_key, CAST(record_id AS VARCHAR) AS record_id, CAST(record_id AS VARCHAR) AS inner_id FROM lined
-        UNION ALL SELECT participant_id, 'delayed_test', delayed_due_at, 'd' || record_id, 'd' || record_id FROM lined WHERE NOT delayed_pending""",
+    "export_bundles": f"""WITH {SESSIONS_SQL} SELECT participant_id, 'session' AS kind, CAST(started_at AS VARCHAR) AS sort_key, CAST(record_id AS VARCHAR) AS record_id, CAST(record_id AS VARCHAR) AS inner_id FROM lined
+        UNION ALL SELECT participant_id, 'delayed_test', CAST(delayed_due_at AS VARCHAR), 'd' || record_id, 'd' || record_id FROM lined WHERE NOT delayed_pending""",
     "delayed_packets": f"""WITH {SESSIONS_SQL}, {_SEEN},
         p AS (SELECT record_id, string_agg(item_id || '=' || target, ',' ORDER BY timestamp_ms, trial_id) FILTER (difficulty = 'easy') AS e,
                      string_agg(item_id || '=' || target, ',' ORDER BY timestamp_ms, trial_id) FILTER (difficulty = 'hard') AS h FROM seen WHERE q = 1 GROUP BY ALL)

@@ -245,8 +245,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Gathering the lines of one order builds one document; its lists are as long as an order has lines.
     """
-    t = trials(spark, sf_dir).withColumn("e", F.struct("timestamp_ms", "trial_id", "*"))
-    lines = t.groupBy("record_id").agg(F.sort_array(F.collect_list("e")).alias("lines"))
+    t = trials(spark, sf_dir)
+    leading = ["timestamp_ms", "trial_id"]
+    entry = F.struct(*leading, *[c for c in t.columns if c not in [*leading, "record_id"]])
+    lines = t.withColumn("e", entry).groupBy("record_id").agg(F.sort_array(F.collect_list("e")).alias("lines"))
     head = finals(spark, sf_dir)
 
     def listed(make, keep=None):
@@ -303,12 +305,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[
             (F.col("price") / d).alias(n)
             for n, d in (
-                ("mentalDemand", 1e4),
-                ("physicalDemand", 2e4),
-                ("temporalDemand", 3e4),
-                ("performance", 4e4),
-                ("effort", 5e4),
-                ("frustration", 6e4),
+                ("mentalDemand", 3e4),
+                ("physicalDemand", 7e4),
+                ("temporalDemand", 9e4),
+                ("performance", 1.1e5),
+                ("effort", 1.3e5),
+                ("frustration", 1.7e5),
             )
         ]
     )
