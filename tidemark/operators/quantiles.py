@@ -35,12 +35,28 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float])
     pairs = [(c, n, q) for c in columns for n, q in enumerate(qs)]
     sketch = df.agg(F.struct(*[_bracket(finite(c), q).alias(f"{c}_q{n}") for c, n, q in pairs]).alias("b"))
     bounds = sketch.scalar()
-    return df.agg(
+    clamped = df.select(*[_clamped(finite(c), bounds[f"{c}_q{n}"]).alias(f"{c}_q{n}") for c, n, _ in pairs])
+    return clamped.agg(*[F.percentile(f"{c}_q{n}", q).alias(f"{c}_q{n}") for c, n, q in pairs])
+
+
+def fitted_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians as plain numbers for a fitted model: two passes, two numbers per column each.
+
+    A column without any value gets 0.
+    """
+    sketch = df.agg(*[_bracket(finite(c), 0.5).alias(c) for c in columns]).first()
+    known = [c for c in columns if sketch[c] is not None]
+    if not known:
+        return dict.fromkeys(columns, 0.0)
+    exact = df.agg(
         *[
-            F.percentile(_clamped(finite(c), bounds[f"{c}_q{n}"]), q).alias(f"{c}_q{n}")
-            for c, n, q in pairs
+            F.percentile(
+                F.when(finite(c).isNotNull(), F.least(F.greatest(c, F.lit(sketch[c][0])), F.lit(sketch[c][1]))), 0.5
+            ).alias(c)
+            for c in known
         ]
-    )
+    ).first()
+    return {c: exact[c] if c in known else 0.0 for c in columns}
 
 
 def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import signals, study, video
+from tidemark.plans import learning, signals, study, video
 
-_PARTS = [video, signals, study]
+_PARTS = [video, signals, study, learning]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
