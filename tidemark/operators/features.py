@@ -190,6 +190,21 @@ def window_features(
     )
 
 
+def features_of_cut_windows(
+    rows: DataFrame, config: FeatureConfig, keys: Sequence[str], place: str = "place"
+) -> DataFrame:
+    """The same features for frames that already carry their window: one group of rows per window.
+
+    ``keys`` identify a window, ``place`` is the 0-based position inside it. Windows of any size count.
+    """
+    marked = mark_frames(rows, list(keys), place, config).withColumn(WINDOW, F.lit(0))
+    windows = marked.groupBy(*keys).agg(*_frame_aggregates(config, place), F.max(WINDOW).alias(WINDOW))
+    _, bad = quality_gate(F.col("_valid"), F.col("_n"), config.max_bad_ratio)
+    values = _finish(config)
+    ordered = [*config.model_features, *config.monitoring_features]
+    return windows.select(*keys, bad.alias("bad_ratio"), *[values[n].alias(n) for n in ordered])
+
+
 def blink_runs(
     frames: DataFrame,
     config: FeatureConfig,

@@ -155,10 +155,11 @@ def manifest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 25, ["doc_id"])
 
 
-def _windows_sql(gated: bool = True) -> str:
+def _windows_sql(fill: bool = True) -> str:
     """Windows straight from their definition: every window sees its own frames and its own runs."""
     c = VIDEO
-    gate = f"WHERE (n - valid_n) / n <= {c.max_bad_ratio}" if gated else ""
+    gate = f"WHERE (n - valid_n) / n <= {c.max_bad_ratio}"
+    bridged = "coalesce(NOT valid AND pv AND nv, false)" if fill else "false"
     return (
         FRAMES_SQL
         + f""",
@@ -178,7 +179,7 @@ filled AS (
          CASE WHEN f THEN 0.5 * p5 + 0.5 * n5 ELSE mouth_mar END AS mouth_mar,
          CASE WHEN f THEN 0.5 * p6 + 0.5 * n6 ELSE roll END AS roll, pitch, yaw,
          CASE WHEN f THEN least(p7, n7) ELSE quality END AS quality
-  FROM (SELECT *, coalesce(NOT valid AND pv AND nv, false) AS f FROM near)),
+  FROM (SELECT *, {bridged} AS f FROM near)),
 win AS (
   SELECT f.*, k FROM filled f,
          unnest(range(greatest(0, CAST(ceil((frame_idx - {c.length - 1}) / {c.step}.0) AS BIGINT)), frame_idx // {c.step} + 1)) AS r(k)),
