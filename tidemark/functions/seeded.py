@@ -17,21 +17,26 @@ RESHUFFLE_MASK = 0x9E3779B1
 def seeded_shuffle(items: Column | str, seed: Column | str) -> Column:
     """Walk the list from its end, swapping each place with a seeded earlier one."""
     items, seed = as_column(items), as_column(seed)
-    start = F.struct(seed.cast("bigint").alias("state"), items.alias("items"))
+    places = F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1))
+    swap = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
+    drawn = F.struct(seed.cast("bigint").alias("state"), F.filter(F.array(swap), lambda _: F.lit(False)).alias("swaps"))
 
-    def step(acc: Column, i: Column) -> Column:
+    def draw(acc: Column, i: Column) -> Column:
         # Both factors stay below 2**32, so the product fits a signed 64-bit integer.
         state = (acc["state"] * LCG_FACTOR + LCG_INCREMENT) % UINT32
         j = F.floor(state / F.lit(float(UINT32)) * (i + 1)).cast("int")
-        a, b = F.get(acc["items"], i), F.get(acc["items"], j)
-        swapped = F.transform(
-            acc["items"], lambda x, n: F.when(n == i, b).when(n == j, a).otherwise(x)
+        swap = F.struct(i.alias("i"), j.alias("j"))
+        return F.struct(state.alias("state"), F.array_append(acc["swaps"], swap).alias("swaps"))
+
+    def exchange(list_: Column, swap: Column) -> Column:
+        i, j = swap["i"], swap["j"]
+        return F.transform(
+            list_, lambda x, n: F.when(n == i, F.get(list_, j)).when(n == j, F.get(list_, i)).otherwise(x)
         )
-        return F.struct(state.alias("state"), swapped.alias("items"))
 
-    last = F.size(items) - 1
-    places = F.sequence(last, F.lit(1), F.lit(-1))
-    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(places, start, step)["items"])
+    # All places are drawn first: the swaps then compare plain numbers only.
+    swaps = F.aggregate(places, drawn, draw)["swaps"]
+    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(swaps, items, exchange))
 
 
 def reshuffle_seed(seed: Column | str) -> Column:

@@ -24,23 +24,24 @@ def answer_is_correct(response: Column | str, target: Column | str) -> Column:
     return normalize_answer(response) == normalize_answer(target)
 
 
-def uint32_hash(c: Column | str) -> Column:
-    """31-polynomial hash of the UTF-16 code units, modulo 2**32."""
+def uint32_hash(c: Column | str, start: Column | int = 0) -> Column:
+    """31-polynomial hash of the UTF-16 code units, modulo 2**32.
+
+    ``start`` continues the hash of a text that stands before ``c``.
+    """
     c = as_column(c)
+    start = (F.lit(start) if isinstance(start, int) else start).cast("bigint")
 
     def unit(h: Column, code: Column) -> Column:
         return (h * 31 + code) % UINT32
 
     def step(h: Column, char: Column) -> Column:
-        point = F.ascii(char).cast("bigint")
-        above = point - 65536
-        high = F.lit(55296) + F.floor(above / 1024)
-        low = F.lit(56320) + above % 1024
+        point = F.ascii(char)
+        high = F.lit(55296) + F.floor((point - 65536) / 1024)
+        low = F.lit(56320) + point % 1024
         return F.when(point < 65536, unit(h, point)).otherwise(unit(unit(h, high), low))
 
-    chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))
-    folded = F.aggregate(chars, F.lit(0).cast("bigint"), step)
-    return F.when(F.length(c) == 0, F.lit(0).cast("bigint")).otherwise(folded)
+    return F.when(F.length(c) == 0, start).otherwise(F.aggregate(F.split(c, ""), start, step))
 
 
 def file_stem(path: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import null_safe_join
+from tidemark.operators.sequence import key_join
 
 KEYS = ("user_id", "task")
 SCORE = "physio_stress_score"
@@ -61,7 +61,7 @@ def overlap_join(
         .groupBy(*KEYS, "t_start_s", "t_end_s")
         .agg((F.sum(F.col("_score") * F.col("_overlap")) / F.sum("_overlap")).alias(value))
     )
-    return null_safe_join(video, met, [*KEYS, "t_start_s", "t_end_s"], "left")
+    return key_join(video, met, [*KEYS, "t_start_s", "t_end_s"], "left")
 
 
 def match_ratio(video: DataFrame, physio: DataFrame, round_dp: int = 3) -> DataFrame:

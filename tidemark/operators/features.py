@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig
 from tidemark.functions.numeric import finite
-from tidemark.operators.sequence import CHUNK, null_safe_join
+from tidemark.operators.sequence import CHUNK, key_join
 from tidemark.operators.windows import (
     WINDOW,
     explode_windows,
@@ -268,7 +268,7 @@ def series_features(
     runs_n = F.coalesce(F.col("_runs"), F.lit(0))
     minutes = F.col("_valid") / F.lit(config.fps) / F.lit(60.0)
     zero = F.lit(0.0)
-    return null_safe_join(base, runs, list(keys), "left").select(
+    return key_join(base, runs, list(keys), "left").select(
         *keys,
         F.when(F.col("_valid") > 0, runs_n / minutes).otherwise(zero).alias("blink_rate"),
         runs_n.cast("double").alias("blink_count"),

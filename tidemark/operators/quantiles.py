@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import finite
-from tidemark.operators.sequence import null_safe_join
+from tidemark.operators.sequence import key_join
 
 ACCURACY = 20000
 # Twice the rank error the sketch guarantees.
@@ -69,7 +69,7 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
     rows = df.select(*keys, *columns).withColumn("_salt", salt)
-    joined = null_safe_join(rows, bounds, [*keys, "_salt"])
+    joined = key_join(rows, bounds, [*keys, "_salt"])
     return joined.groupBy(*keys).agg(
         *[F.percentile(_clamped(finite(c), F.col(f"_b_{c}")), 0.5).alias(c) for c in columns]
     )

@@ -28,6 +28,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on columns of the same name. A NULL key matches nothing; a left join keeps its rows."""
+    return left.join(right, list(keys), how)
+
+
 def time_chunk(ts: Column | str, seconds: int) -> Column:
     """Chunk number of a timestamp. A device's sampling rate bounds the rows of one chunk."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -44,20 +49,20 @@ def with_index(
 ) -> DataFrame:
     """0-based row number per key in the given order.
 
-    ``chunk`` must not decrease along the order. Row numbers are taken inside a chunk; the sizes of the
-    earlier chunks (one small row per chunk) are added afterwards.
+    ``chunk`` must not decrease along the order. Each chunk gets a head row with the number of rows in
+    the earlier chunks (summed over one small row per chunk), so counting starts there. The rows
+    themselves are shuffled once.
     """
     part = [*keys, CHUNK]
     rows = df.withColumn(CHUNK, chunk)
-    local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*part).agg(F.count("*").alias("_size"))
-    offsets = sizes.select(*part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    return (
-        null_safe_join(local, offsets, part)
-        .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_rn", "_offset", CHUNK)
-    )
+    heads = sizes.select(*part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"), F.lit(1).alias("_head"))
+    both = rows.withColumn("_head", F.lit(0)).unionByName(heads, allowMissingColumns=True)
+    along = Window.partitionBy(*part).orderBy(F.desc("_head"), *order)
+    # The head is row 1 of its chunk, the first real row is row 2.
+    number = F.first("_offset").over(along) + F.row_number().over(along) - 2
+    return both.withColumn(name, number).where("_head = 0").drop("_head", "_offset", CHUNK)
 
 
 def with_halo(df: DataFrame, idx: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
@@ -77,22 +82,22 @@ def with_halo(df: DataFrame, idx: str, size: int, before: int = 0, after: int =
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, columns: Sequence[str], name: str = "_prev"
 ) -> DataFrame:
-    """Struct of the previous row's ``columns`` along the order, NULL on the first row of a key."""
+    """Struct of the previous row's ``columns`` along the order, NULL on the first row of a key.
+
+    The last row of every chunk is put as a head row in front of the next chunk of its key.
+    """
     part = [*keys, CHUNK]
-    rows = df.withColumn(CHUNK, chunk).withColumn("_now", F.struct(*columns))
-    local = rows.withColumn(
-        name, F.lag("_now").over(Window.partitionBy(*part).orderBy(*order))
-    )
+    rows = df.withColumns({CHUNK: chunk, "_now": F.struct(*columns)})
     tails = rows.groupBy(*part).agg(F.max(F.struct(*order, "_now")).alias("_tail"))
-    carried = tails.select(
-        *part,
-        F.lag(F.col("_tail._now")).over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"),
-    )
-    return (
-        null_safe_join(local, carried, part)
-        .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
-        .drop("_carry", "_now", CHUNK)
-    )
+    heads = tails.select(
+        *keys,
+        F.lead(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK)).alias(CHUNK),
+        F.col("_tail._now").alias("_now"),
+        F.lit(1).alias("_head"),
+    ).where(F.col(CHUNK).isNotNull())
+    both = rows.withColumn("_head", F.lit(0)).unionByName(heads, allowMissingColumns=True)
+    along = Window.partitionBy(*part).orderBy(F.desc("_head"), *order)
+    return both.withColumn(name, F.lag("_now").over(along)).where("_head = 0").drop("_head", "_now", CHUNK)
 
 
 def ewma(

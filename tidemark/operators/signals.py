@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -81,21 +81,24 @@ def mark_peaks(rows: DataFrame, part: Sequence[str], idx: str, config: PhysioCon
         ]
     )
 
-    def mark(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(idx, ignore_index=True)
-        ecg, eda, breath = (chunk[s].to_numpy(dtype=float) for s in SIGNALS)
+    def mark(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(idx)
+        ecg, eda, breath = (chunk.column(s).to_numpy().astype(float) for s in SIGNALS)
         tonic = moving_mean(eda, config.tonic_half_width)
         phasic = eda - tonic
-        return chunk.assign(
-            _tonic=tonic,
-            _phasic=phasic,
-            _ecg_peak=local_peaks(ecg, config.ecg_half_width),
-            _scr_peak=local_peaks(phasic, config.eda_half_width),
-            _breath_peak=local_peaks(breath, config.resp_half_width),
-            _breath_trough=local_peaks(-breath, config.resp_half_width),
-        )
+        added = {
+            "_tonic": tonic,
+            "_phasic": phasic,
+            "_ecg_peak": local_peaks(ecg, config.ecg_half_width),
+            "_scr_peak": local_peaks(phasic, config.eda_half_width),
+            "_breath_peak": local_peaks(breath, config.resp_half_width),
+            "_breath_trough": local_peaks(-breath, config.resp_half_width),
+        }
+        for name, values in added.items():
+            chunk = chunk.append_column(name, pa.array(values, from_pandas=True))
+        return chunk
 
-    return clean.groupBy(*part).applyInPandas(mark, schema)
+    return clean.groupBy(*part).applyInArrow(mark, schema)
 
 
 def _points(flag: str, idx: str, value: str) -> Column:

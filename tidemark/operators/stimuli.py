@@ -113,16 +113,19 @@ def recognition_choices(
         F.array(choice(F.col("item.target"), True)),
         F.transform(seeded_shuffle("_wrong", "_seed"), lambda t: choice(t, False)),
     )
+    # The hash of the participant's part is taken once per row, before the items are unfolded.
+    item_seed = uint32_hash(F.concat(F.lit(":"), F.col("item.id"), F.lit(":recognition")), F.col("_seed_head"))
     return (
-        df.withColumn("item", F.explode(items))
+        df.withColumn("_seed_head", uint32_hash(seed_input))
+        .withColumn("item", F.explode(items))
         .withColumn("_others", others)
         .withColumns(
             {
                 "_wrong": F.slice(wrong, 1, max(choices - 1, 1)),
-                "_seed": uint32_hash(F.concat_ws(":", seed_input, F.col("item.id"), F.lit("recognition"))),
+                "_seed": item_seed,
             }
         )
         .withColumn("_offered", offered)
         .withColumn("choices", seeded_shuffle("_offered", reshuffle_seed("_seed")))
-        .drop("_others", "_wrong", "_seed", "_offered")
+        .drop("_others", "_wrong", "_seed_head", "_seed", "_offered")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import StudyPlan
 from tidemark.functions.numeric import as_column, ratio
 from tidemark.functions.text import interference_group, normalize_answer, uint32_hash
-from tidemark.operators.sequence import latest_per_key, null_safe_join, time_chunk, with_previous
+from tidemark.operators.sequence import latest_per_key, key_join, time_chunk, with_previous
 
 # Internal session phases and the tags stored with samples and trials.
 PHASE_TAGS = {
@@ -117,7 +117,7 @@ def session_timing(
     hours = F.when(F.col("session_number") == 2, micros / F.lit(3.6e9))
     early = F.coalesce(F.col("hours_since_first") < plan.min_hours_between_sessions, F.lit(False))
     return (
-        null_safe_join(requests, first, ["participant_id"], "left")
+        key_join(requests, first, ["participant_id"], "left")
         .withColumn("hours_since_first", hours)
         .withColumn("too_early", early)
         .withColumn("can_start", ~F.col("too_early") | F.col("allow_early") | (F.col("session_number") == 1))
@@ -135,7 +135,7 @@ def session_timing(
 def finalize(drafts: DataFrame, finals: DataFrame, written: DataFrame, order: str = "saved_at") -> tuple[DataFrame, DataFrame]:
     """New snapshots of drafts and finals: a final write replaces by record id and removes the draft."""
     merged = latest_per_key(finals.unionByName(written, allowMissingColumns=True), ["record_id"], [F.desc(order)])
-    open_drafts = null_safe_join(
+    open_drafts = key_join(
         latest_per_key(drafts, ["record_id"], [F.desc(order)]), merged.select("record_id"), ["record_id"], "left_anti"
     )
     return open_drafts, merged
@@ -145,7 +145,7 @@ def clear_pending(finals: DataFrame, delayed: DataFrame) -> DataFrame:
     """Finals whose pending flag is cleared once a delayed result refers to them."""
     linked = delayed.select(F.col("linked_record_id").alias("record_id")).distinct().withColumn("_seen", F.lit(True))
     return (
-        null_safe_join(finals, linked, ["record_id"], "left")
+        key_join(finals, linked, ["record_id"], "left")
         .withColumn("delayed_pending", F.col("delayed_pending") & F.col("_seen").isNull())
         .drop("_seen")
     )
@@ -157,7 +157,7 @@ def pending_tests(finals: DataFrame, delayed: DataFrame, participant: str | None
     if participant is not None:
         waiting = waiting.where(F.col("participant_id") == participant)
     results = delayed.select(F.col("linked_record_id").alias("record_id"))
-    return null_safe_join(waiting, results, ["record_id"], "left_anti").orderBy("delayed_due_at", "record_id")
+    return key_join(waiting, results, ["record_id"], "left_anti").orderBy("delayed_due_at", "record_id")
 
 
 def list_sessions(sessions: DataFrame, participant: str | None = None, order: str = "started_at") -> DataFrame:
@@ -214,15 +214,15 @@ def block_summaries(trials: DataFrame, interventions: DataFrame, exposures: Data
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
-    out = null_safe_join(summary, adapted, keys, "left")
+    out = key_join(summary, adapted, keys, "left")
     out = out.withColumn("adaptation_applied", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return out if exposures is None else null_safe_join(out, exposures, keys, "left")
+    return out if exposures is None else key_join(out, exposures, keys, "left")
 
 
 def replace_block_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
     """A new summary of a block takes the place of the old one."""
     keys = ["record_id", "block_index"]
-    kept = null_safe_join(old, new.select(*keys), keys, "left_anti")
+    kept = key_join(old, new.select(*keys), keys, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -236,7 +236,7 @@ def session_summaries(trials: DataFrame, interventions: DataFrame, cli_samples:
         F.count("*").alias("intervention_count")
     )
     scored = cli_samples.groupBy("record_id").agg(F.count("*").alias("scored_windows"))
-    out = null_safe_join(null_safe_join(base, applied, ["record_id"], "left"), scored, ["record_id"], "left")
+    out = key_join(key_join(base, applied, ["record_id"], "left"), scored, ["record_id"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("intervention_count", "scored_windows")})
 
 

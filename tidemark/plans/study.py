@@ -59,7 +59,8 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_nationkey") % 2 == 0, "A").otherwise("B").alias("form"),
         F.when(F.col("c_acctbal") > 4000, "easy").otherwise("hard").alias("difficulty"),
     )
-    return stimuli.block_items(people)
+    # A small row grows into a whole block of work: spread the rows before that.
+    return stimuli.block_items(people.repartition(spark.sparkContext.defaultParallelism))
 
 
 def block_item_order(spark: SparkSession, sf_dir: str) -> DataFrame:

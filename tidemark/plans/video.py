@@ -20,7 +20,7 @@ from tidemark.plans.tables import (
     load,
     rounded,
 )
-from tidemark.sources.writers import feature_rows
+from tidemark.sources.writers import feature_rows, staged
 
 KEYS = ["user_id", "task"]
 UNGATED = replace(VIDEO, max_bad_ratio=1.0)
@@ -73,8 +73,13 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.window_features(frames(spark, sf_dir), VIDEO)
 
 
+def _stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window features as a written table: baselines and deltas read them several times."""
+    return staged(_wide(spark, sf_dir), "windows")
+
+
 def user_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(baseline.user_baseline(_wide(spark, sf_dir)))
+    return rounded(baseline.user_baseline(_stored_windows(spark, sf_dir)))
 
 
 def live_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +88,14 @@ def live_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _wide(spark, sf_dir)
+    wide = _stored_windows(spark, sf_dir)
     out = baseline.add_centered_and_delta(wide, baseline.user_baseline(wide))
     return rounded(out.select(*KEYS, "t_start_s", *EngineeredFeatures().all))
 
 
 def engineered_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to features, baseline, centred and delta values and the per-user target."""
-    wide = _wide(spark, sf_dir)
+    wide = _stored_windows(spark, sf_dir)
     out = baseline.add_centered_and_delta(wide, baseline.user_baseline(wide))
     out = baseline.add_target(out, "z01", "mean_brightness")
     picked = ["perclos", "ear_std", "motion_mean"]
@@ -100,7 +105,7 @@ def engineered_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _wide(spark, sf_dir).select(*KEYS, "t_start_s", "perclos")
+    wide = _stored_windows(spark, sf_dir).select(*KEYS, "t_start_s", "perclos")
     return rounded(baseline.add_target(wide, "delta", "perclos"))
 
 

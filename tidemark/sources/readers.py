@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark import schemas
 from tidemark.functions.numeric import finite
 from tidemark.functions.text import file_stem, split_subject_task, task_of_video
-from tidemark.operators.sequence import null_safe_join, with_index
+from tidemark.operators.sequence import key_join, with_index
 from tidemark.schemas import require_columns
 
 CORRUPT = "_corrupt_record"
@@ -110,7 +110,7 @@ def read_recordings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     participant, task = _recording(F.col("path"))
     cells = F.split("line", ",")
     samples = (
-        null_safe_join(numbered.where("_line > 0"), checked.where(complete), ["path"])
+        key_join(numbered.where("_line > 0"), checked.where(complete), ["path"])
         .select(
             participant.alias("user_id"),
             task.alias("task"),
