@@ -220,14 +220,14 @@ _DELTA = ", ".join(
 ORACLES = {
     "streamed_window_features": f"WITH {_LIVE_SQL} SELECT user_id || '/' || task AS session_id, t_start_s, t_end_s, {_round(_ALL)} FROM wide",
     "streamed_previews": f"""WITH {FRAMES_SQL},
-        p AS (SELECT a.user_id, a.task, a.frame_idx AS at, b.valid, b.ear_mean, b.brightness
+        p AS (SELECT a.user_id, a.task, a.frame_idx AS spot, b.valid, b.ear_mean, b.brightness
               FROM frames a JOIN frames b ON b.user_id = a.user_id AND b.task = a.task AND b.frame_idx BETWEEN a.frame_idx - {LIVE.length - 1} AND a.frame_idx
               WHERE a.frame_idx % 4 = 0)
-        SELECT user_id || '/' || task AS session_id, CAST(at AS DOUBLE) AS emitted_at,
+        SELECT user_id || '/' || task AS session_id, CAST(spot AS DOUBLE) AS emitted_at,
                round(CASE WHEN count(*) FILTER (valid) > 0 THEN count(*) FILTER (valid AND ear_mean < {LIVE.ear_threshold}) / count(*) FILTER (valid) END, 6) AS perclos,
                round(avg(brightness) FILTER (valid), 6) AS mean_brightness,
                round(CASE WHEN count(*) FILTER (valid) > 0 THEN count(*) FILTER (valid) / count(*) END, 6) AS valid_frame_ratio
-        FROM p GROUP BY user_id, task, at""",
+        FROM p GROUP BY user_id, task, spot""",
     "streamed_engineered_features": f"""WITH {_LIVE_SQL},
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, task ORDER BY t_start_s) AS rn FROM wide),
         b AS (SELECT user_id, task, {_BASE} FROM r WHERE rn <= 2 GROUP BY ALL),
