@@ -10,6 +10,8 @@ from tidemark.config import FeatureConfig
 from tidemark.operators.baseline import earliest_rows
 from tidemark.operators.features import window_features
 from tidemark.operators.sequence import with_index
+from tidemark.operators.signals import normalized_windows
+from tidemark.operators.windows import sliding_windows
 from tidemark.plans import tables
 
 
@@ -30,6 +32,13 @@ def test_windows_need_one_exchange(stored_frames):
     assert text.count("Sort [") == 1
 
 
+def test_plain_windows_and_normalizing_need_one_exchange(stored_frames):
+    out = sliding_windows(stored_frames, ["user_id", "task"], "frame_idx", 12, 3, [F.avg("quality").alias("q")])
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    out = normalized_windows(stored_frames, "quality", 12, 3, idx="frame_idx")
+    assert plan(out).count("Exchange hashpartitioning") == 1
+
+
 def test_disabled_features_are_not_read(stored_frames):
     config = FeatureConfig(fps=1.0, length_s=12, step_s=3, geometry=False, max_gap=0)
     text = plan(window_features(stored_frames, config).select("user_id", "perclos"))

@@ -63,12 +63,13 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     """Exact median of every column per key, safe for a key that holds a large share of the rows.
 
     The rows are salted before they meet their bracket, so a hot key is spread over several tasks; the
-    partial buffers of the final aggregate hold bracketed values only.
+    partial buffers of the final aggregate hold bracketed values only. The salt is taken from all columns
+    of ``df``: leave columns in that tell rows apart (a time, a task).
     """
     bounds = df.groupBy(*keys).agg(*[_bracket(finite(c), 0.5).alias(f"_b_{c}") for c in columns])
     bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
-    rows = df.select(*keys, *columns).withColumn("_salt", salt)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    rows = df.withColumn("_salt", salt).select(*keys, *columns, "_salt")
     joined = key_join(rows, bounds, [*keys, "_salt"])
     return joined.groupBy(*keys).agg(
         *[F.percentile(_clamped(finite(c), F.col(f"_b_{c}")), 0.5).alias(c) for c in columns]

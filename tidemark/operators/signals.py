@@ -240,9 +240,10 @@ def normalized_windows(
     min_std: float = 1e-6,
 ) -> DataFrame:
     """Every sample of every full window as z-score of its window; zeros where the window is constant."""
-    rows = window_chunks(samples, idx, length, step, windows_per_chunk)
+    # Samples travel once per chunk; their four windows are made behind the exchange.
+    rows = window_chunks(samples, idx, length, step, windows_per_chunk).repartition(*keys, CHUNK)
     each = explode_windows(rows, idx, length, step, windows_per_chunk)
-    window = Window.partitionBy(*keys, WINDOW)
+    window = Window.partitionBy(*keys, CHUNK, WINDOW)
     signal = finite(value)
     scored = each.withColumns(
         {

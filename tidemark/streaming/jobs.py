@@ -54,8 +54,11 @@ def run_available(
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
-def stream_table(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of parquet files as a stream."""
+def stream_table(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = 64) -> DataFrame:
+    """A folder of parquet files as a stream.
+
+    The limit per micro-batch also bounds what one key can bring into one task at a time.
+    """
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
