@@ -12,29 +12,43 @@ from tidemark.sources.writers import collected_counts, collected_rows, flatten_c
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """The state store that keyed list and value states need, for the streams started inside."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """The state store that keyed list and value states need, for the streams started inside.
+
+    ``partitions`` is the number of state partitions: it is fixed when a stream first starts, so it should
+    fit the cores that will run the stream rather than the session's batch shuffles.
+    """
+    wanted = {PROVIDER: ROCKSDB}
+    if partitions is not None:
+        wanted[PARTITIONS] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def run_available(
-    stream: DataFrame, name: str, each: Callable[[DataFrame], DataFrame] | None = None, path: str | None = None
+    stream: DataFrame,
+    name: str,
+    each: Callable[[DataFrame], DataFrame] | None = None,
+    path: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Process all available input and return the written result.
 
     ``each`` turns a micro-batch into the rows to keep. A batch is written to a folder of its own number,
-    so a repeated batch replaces itself.
+    so a repeated batch replaces itself. State is spread over ``partitions``, by default one per core.
     """
     spark = stream.sparkSession
     path = path or shared_folder(spark, name)
@@ -43,7 +57,7 @@ def run_available(
         rows = batch if each is None else each(batch)
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    with state_store(spark):
+    with state_store(spark, partitions or spark.sparkContext.defaultParallelism):
         query = (
             stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", f"{path}/checkpoint")
