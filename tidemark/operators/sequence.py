@@ -111,19 +111,20 @@ def ewma(
 ) -> DataFrame:
     """y = alpha * x + (1 - alpha) * y_previous along a 0-based index, beginning at ``start``.
 
-    The recursion is unrolled into a weighted sum. A chunk spans so many rows that the weight of
-    anything older than the chunk before it is below 1e-40, far under double precision, so one
-    neighbour is all the history a row needs. ``value`` must not be NULL.
+    The recursion is unrolled into a weighted sum. After ``span`` rows a weight is below 1e-40, far under
+    double precision, so a chunk needs that many rows of history from its neighbour and no more. The
+    weights inside a chunk stay within the range of a double. ``value`` must not be NULL.
     """
-    size = decay_span(alpha)
+    span = decay_span(alpha)
+    size = 4 * span
     decay = F.lit(1.0 - alpha)
-    rows = with_halo(df, idx, size, before=size)
-    place = F.col(idx) - (F.col(CHUNK) - 1) * size
+    rows = with_halo(df, idx, size, before=span)
+    place = F.col(idx) - F.col(CHUNK) * size + span
     so_far = (
         Window.partitionBy(*keys, CHUNK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     )
     weighted = F.sum(F.col(value) * F.pow(decay, -place)).over(so_far)
-    initial = F.when(F.col(CHUNK) <= 1, F.pow(decay, F.col(idx) + 1) * F.lit(start)).otherwise(0.0)
+    initial = F.when(F.col(CHUNK) == 0, F.pow(decay, F.col(idx) + 1) * F.lit(start)).otherwise(0.0)
     return (
         rows.withColumn(name, F.lit(alpha) * F.pow(decay, place) * weighted + initial)
         .where("_own")
