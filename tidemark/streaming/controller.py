@@ -188,12 +188,11 @@ class ScoreProcessor(StatefulProcessor):
         start: float = 0.5,
         plan: StudyPlan = StudyPlan(),
         quality: StudyQuality = StudyQuality(),
-        ttl_ms: int | None = None,
     ):
-        self.alpha, self.start, self.plan, self.quality, self.ttl_ms = alpha, start, plan, quality, ttl_ms
+        self.alpha, self.start, self.plan, self.quality = alpha, start, plan, quality
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "state string", self.ttl_ms)
+        self.state = handle.getValueState("session", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         stored = json.loads(self.state.get()[0]) if self.state.exists() else {"smoothed": self.start, "controller": {}}

@@ -40,12 +40,12 @@ class WindowBufferProcessor(StatefulProcessor):
     frames carry the window they belong to, so the features are computed by the batch operators.
     """
 
-    def __init__(self, config: FeatureConfig = FeatureConfig(), preview_s: float | None = None, ttl_ms: int | None = None):
-        self.config, self.preview_s, self.ttl_ms = config, preview_s, ttl_ms
+    def __init__(self, config: FeatureConfig = FeatureConfig(), preview_s: float | None = None):
+        self.config, self.preview_s = config, preview_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getListState("frames", FRAME_FIELDS, self.ttl_ms)
-        self.clock = handle.getValueState("clock", "seen bigint, attempted double, previewed double", self.ttl_ms)
+        self.frames = handle.getListState("frames", FRAME_FIELDS)
+        self.clock = handle.getValueState("clock", "seen bigint, attempted double, previewed double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         size = self.config.length
@@ -116,16 +116,15 @@ class CalibrationProcessor(StatefulProcessor):
         features: Sequence[str] = tuple(BASE_FEATURES),
         carried: Sequence[str] = (),
         n_windows: int = 4,
-        ttl_ms: int | None = None,
     ):
         self.features, self.carried = list(features), list(carried)
-        self.n_windows, self.ttl_ms = n_windows, ttl_ms
+        self.n_windows = n_windows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"{f} double" for f in self.features)
-        self.first = handle.getListState("first", fields, self.ttl_ms)
-        self.baseline = handle.getValueState("baseline", fields, self.ttl_ms)
-        self.previous = handle.getValueState("previous", fields, self.ttl_ms)
+        self.first = handle.getListState("first", fields)
+        self.baseline = handle.getValueState("baseline", fields)
+        self.previous = handle.getValueState("previous", fields)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         windows = pd.concat(rows, ignore_index=True).sort_values("emitted_at", kind="stable", ignore_index=True)
@@ -184,11 +183,11 @@ def calibrated_features(
 class ThrottleProcessor(StatefulProcessor):
     """Passes a frame only if it is far enough from the last passed one and shows another picture."""
 
-    def __init__(self, fps: float, fields: Sequence[str], ttl_ms: int | None = None):
-        self.fps, self.fields, self.ttl_ms = fps, list(fields), ttl_ms
+    def __init__(self, fps: float, fields: Sequence[str]):
+        self.fps, self.fields = fps, list(fields)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at_ms double, video_time double", self.ttl_ms)
+        self.last = handle.getValueState("last", "at_ms double, video_time double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frames = pd.concat(rows, ignore_index=True).sort_values("at_ms", kind="stable", ignore_index=True)
