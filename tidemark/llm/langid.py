@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,3 +237,17 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
         run, "doc_id long, held_out boolean, lang_pred string, score double, spans string"
     )
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in a known language by at least ``least`` of its letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model, penalty)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in by_bytes(texts, 1 << 20):
+                keep = [lang != "und" and score >= least for lang, score, _ in labeller(texts[lo:hi])]
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
