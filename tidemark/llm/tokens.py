@@ -36,7 +36,7 @@ class WordTokenizer:
     others, and those with a special token, go to the whole tokenizer.
     """
 
-    def __init__(self, path: str, chunks: int = 250_000, pieces: int = 400_000) -> None:
+    def __init__(self, path: str, chunks: int = 400_000, pieces: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
