@@ -89,11 +89,14 @@ def test_words_across_pieces(monkeypatch):
 
 def test_distance_counts_positions(spark):
     rng = np.random.default_rng(1)
-    sig = rng.integers(-(1 << 63), (1 << 63) - 1, (2, minhash.CHUNKS), np.int64)
-    sig[1, ::2] = sig[0, ::2]
+    codes = rng.integers(0, 1 << minhash.BITS, (2, minhash.CHUNKS, minhash.WITHIN))
+    codes[1, ::2] = codes[0, ::2]
+    codes[1, 1, 0] = codes[0, 1, 0] ^ 1
+    codes[1, 1, 1] = codes[0, 1, 1] ^ (1 << (minhash.BITS - 1))
+    sig = (codes << (minhash.BITS * np.arange(minhash.WITHIN))).sum(axis=2)
     a, b = (spark.createDataFrame([tuple(map(int, s))], ", ".join(f"{c} long" for c in minhash.SIGNATURE)) for s in sig)
     got = a.alias("a").join(b.alias("b")).select(minhash._distance("a", "b")).first()[0]
-    assert got == int((sig.view(np.uint16)[0] != sig.view(np.uint16)[1]).sum())
+    assert got == int((codes[0] != codes[1]).sum())
 
 
 @pytest.mark.parametrize("n", [1, 2, 40])

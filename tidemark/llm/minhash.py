@@ -1,15 +1,17 @@
 """Near-duplicate documents: b-bit MinHash signatures joined by a multi-index Hamming join, links confirmed on full sets.
 
-A signature has 48 positions of 16 bits: 12 chunks of 4 positions, one 64-bit integer each. Two signatures that differ
+A signature has 60 positions of 12 bits: 12 chunks of 5 positions, one 64-bit integer each. Two signatures that differ
 in at most 23 positions have, by the pigeonhole principle, a chunk that differs in at most one. Each chunk is therefore
-looked up under its four ways to leave one position out (the allowed chunk errors), 48 keys a document, and every pair
-within distance 23 meets under some key. Pairs at the similarity threshold of 0.75 differ in 12 positions on average
-(standard deviation 3); the chance that such a pair shares no key is 0.262 ** 12, about 1e-7.
-
-No key's members are multiplied out. Equal sets are one class. Members of a key are compared with the key's leader
-first; confirmed links make components; only pairs that still lie in different components are then enumerated, filtered
-by size and signature distance, and confirmed. Every pair under a common key is thus either confirmed, refuted or already
-connected, so the components are those of all links.
+looked up under its five ways to leave one position out (the allowed chunk errors), 60 keys a document, and every pair
+within distance 23 meets under some key. Pairs at the similarity threshold of 0.75 differ in 15 positions on average
+(standard deviation 3.4); the chance that such a pair shares no key is 0.367 ** 12, about 6e-6. Pairs that meet are
+compared in full up to distance 33, more than five standard deviations above the mean.
+
+No key's members are multiplied out. Equal sets are one class. In a first round the members of a key are compared with
+the key's leader; in ``CHAINS`` further ones each with its neighbour in a random order of the key's members; each document
+confirms its nearest such partner, and confirmed links make components. Only pairs that then still lie in different
+components are enumerated, filtered by size and signature distance, and confirmed. Every pair under a common key is thus
+either confirmed, refuted or already connected, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import stage
 from tidemark.llm.shingles import by_bytes, shingle_sets
 
-CHUNKS, WITHIN, BITS = 12, 4, 16
-#: Positions in which signatures may differ: one error in each chunk is found, so 2 * CHUNKS - 1.
-DISTANCE = 2 * CHUNKS - 1
+CHUNKS, WITHIN, BITS = 12, 5, 12
+#: Pairs within 2 * CHUNKS - 1 positions are certain to meet; those that meet are kept up to this distance.
+DISTANCE = 33
 PERCENT = 75
+CHAINS = 2
+#: Members of a key that stand in one chain; larger keys have several, dealt anew in each round.
+CHAIN_ROWS = 10_000
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 
 
@@ -87,7 +92,7 @@ def _distance(a: str, b: str) -> Column:
     total = F.lit(0)
     for name in SIGNATURE:
         x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-        for shift in (8, 4, 2, 1):
+        for shift in (6, 3, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_fold_mask(shift))))
         total = total + F.bit_count(x.bitwiseAND(F.lit(lowest)))
     return total
@@ -99,19 +104,36 @@ def _fold_mask(shift: int) -> int:
     return sum(one << (BITS * i) for i in range(WITHIN))
 
 
+def _sizes_fit(x: str, y: str) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the threshold and whose signatures are near enough, with their distance."""
+    """Pairs (a, b) whose signatures are near enough, with their distance."""
     joined = (
         pairs.alias("p")
         .join(reps.alias("x"), F.col("p.a") == F.col("x.rep"))
         .join(reps.alias("y"), F.col("p.b") == F.col("y.rep"))
     )
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    return (
-        joined.where(100 * small >= PERCENT * large)
-        .select("p.a", "p.b", _distance("x", "y").alias("distance"))
-        .where(F.col("distance") <= DISTANCE)
-    )
+    near = joined.where(_sizes_fit("x.n_shingles", "y.n_shingles")).select("p.a", "p.b", _distance("x", "y").alias("distance"))
+    return near.where(F.col("distance") <= DISTANCE)
+
+
+def _nearest(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """For each b its nearest a."""
+    return _near(pairs.distinct(), reps).groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
+
+
+def _chain(placed: DataFrame, turn: int) -> DataFrame:
+    """Neighbours of different components in a random order of each key's members."""
+    part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("members") / CHAIN_ROWS))
+    order = f"over (partition by key, part order by xxhash64(rep, {-turn}), rep)"
+    rows = placed.withColumn("part", part)
+    for c in ("rep", "component", "n"):
+        rows = rows.withColumn(f"last_{c}", F.expr(f"lag({c}) {order}"))
+    rows = rows.where((F.col("component") != F.col("last_component")) & _sizes_fit("n", "last_n"))
+    return rows.select(F.col("last_rep").alias("a"), F.col("rep").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,26 +180,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stage(classes.select("rep", "n_shingles", "h1", "h2", *SIGNATURE), "classes")
     members = full.join(reps.select("rep", *same), same).where("rep <> doc_id").select("doc_id", "rep")
 
-    keyed = reps.select("rep", F.explode(_keys()).alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    keyed = stage(keyed.join(groups.select("key", "leader"), "key"), "keys")
+    keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.explode(_keys()).alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
+    keyed = stage(keyed.join(groups, "key"), "keys")
     ids = keyed.select(F.col("rep").alias("doc_id")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = stage(source.join(ids, "doc_id", "left_semi").distinct(), "texts")
 
-    led = keyed.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    best = _near(led, reps).groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
-    first = stage(_confirmed(best, texts), "links")
-    comp = stage(components(first, "a", "b"), "components")
-
-    placed = (
-        keyed.join(comp, keyed["rep"] == comp["node"], "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    placed = stage(placed.join(open_keys.select("key"), "key", "left_semi"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    def placed(links: DataFrame) -> DataFrame:
+        """Members of keys that still lie in several components of these links."""
+        comp = stage(components(links, "a", "b"), "components")
+        rows = keyed.join(comp, keyed["rep"] == comp["node"], "left").select(
+            "key", "rep", "n", "members", F.coalesce("component", "rep").alias("component")
+        )
+        several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return stage(rows.join(several.select("key"), "key", "left_semi"), "open")
+
+    led = keyed.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    first = stage(_confirmed(_nearest(led, reps), texts), "links")
+    for turn in range(1, CHAINS + 1):
+        first = first.union(stage(_confirmed(_nearest(_chain(placed(first), turn), reps), texts), "links"))
+    still = placed(first)
+    x, y = still.alias("x"), still.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes_fit("x.n", "y.n"))
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     second = stage(_confirmed(_near(across, reps), texts), "links")
 
