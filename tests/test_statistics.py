@@ -152,3 +152,15 @@ def test_peak_helpers_match_direct_scan():
             assert got[i] == want
         mean = signals.moving_mean(x, w)
         assert all(mean[i] == pytest.approx(np.nanmean(x[max(0, i - w) : i + w + 1])) for i in range(300))
+
+
+def test_ranks_leave_out_nan_and_infinity(spark):
+    from tidemark.operators import scoring
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(float(i), float(i * i), i % 2) for i in range(20)] + [(nan, 1.0, 1), (inf, 2.0, 0), (3.0, -inf, 1), (None, 4.0, 0)]
+    df = spark.createDataFrame(rows, "x double, y double, label int")
+    clean = df.where("x < 1000 and y < 1000 and y > -1000")
+    assert ranks.spearman(df, "x", "y").first() == ranks.spearman(clean, "x", "y").first()
+    assert ranks.roc_auc(df, "label", "x").first() == ranks.roc_auc(df.where("x < 1000"), "label", "x").first()
+    assert scoring.latency_stats(df, "x").first() == scoring.latency_stats(df.where("x < 1000"), "x").first()

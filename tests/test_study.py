@@ -46,12 +46,15 @@ def test_hash_and_assignment(spark):
 
 
 def test_shuffle_and_choices(spark):
+    items = {(f, d): [(f"{f}{d}{n}", f"cue{n}", f"t{n % 9}", d, f"g{n // 2}") for n in range(12)] for f in "AB" for d in ("easy", "hard")}
+    table = spark.createDataFrame([(f, d, n, *x[:3], x[4]) for (f, d), own in items.items() for n, x in enumerate(own)],
+                                  "form string, difficulty string, position int, id string, cue string, target string, interference_group string")
     df = spark.createDataFrame([(f"P{i:03d}", f, d) for i in range(12) for f in "AB" for d in ("easy", "hard")],
                                "participant_id string, form string, difficulty string")
     for interference in (True, False):
-        rows = stimuli.recognition_choices(stimuli.block_items(df, count=10), choices=4, interference=interference).collect()
+        rows = stimuli.recognition_choices(stimuli.block_items(df, table, count=10), choices=4, interference=interference).collect()
         for r in rows:
-            want = js_shuffle(stimuli.form_items(r.form, r.difficulty), js_hash(f"{r.participant_id}:{r.form}:{r.difficulty}"))[:10]
+            want = js_shuffle(items[r.form, r.difficulty], js_hash(f"{r.participant_id}:{r.form}:{r.difficulty}"))[:10]
             assert [tuple(i) for i in r["items"]] == want
             me = r.item
             others = [i for i in want if i[0] != me.id]
@@ -120,10 +123,10 @@ def test_storage(spark):
     schema = "record_id string, participant_id string, saved_at int, delayed_pending boolean, delayed_due_at string"
     drafts = spark.createDataFrame([("a", "p", 1, True, "d"), ("b", "p", 1, True, "d")], schema)
     finals = spark.createDataFrame([("c", "p", 1, True, "x"), ("d", "p", 1, True, "w")], schema)
-    written = spark.createDataFrame([("a", "p", 5, True, "y"), ("c", "p", 6, True, "z")], schema)
+    written = spark.createDataFrame([("a", "p", 9, True, "n", 1), ("a", "p", 5, True, "y", 2), ("c", "p", 0, True, "z", 1)], schema + ", write_seq int")
     left, merged = study.finalize(drafts, finals, written)
     assert [r.record_id for r in left.collect()] == ["b"]
-    assert {r.record_id: r.saved_at for r in merged.collect()} == {"a": 5, "c": 6, "d": 1}
+    assert {r.record_id: r.saved_at for r in merged.collect()} == {"a": 5, "c": 0, "d": 1}
     results = spark.createDataFrame([("a",), ("gone",)], "linked_record_id string")
     assert {r.record_id: r.delayed_pending for r in study.clear_pending(merged, results).collect()} == {"a": False, "c": True, "d": True}
     assert [r.record_id for r in study.pending_tests(merged, results).collect()] == ["d", "c"]
@@ -237,12 +240,11 @@ def test_collected_samples(spark):
 
 def test_rates(spark):
     ms = [0, 100, 150, 150, 350, 400]
-    from tidemark.operators.sequence import with_index
-    df = spark.createDataFrame([("u", m) for m in sorted(set(ms))], "k string, ms bigint").withColumn("at", F.timestamp_millis("ms"))
-    rows = study.frame_rate(with_index(df, ["k"], ["at"], F.lit(0), "n"), ["k"], "n", "at").orderBy("n").collect()
-    want, last, t = [], 0.0, sorted(set(ms))
-    for a, b in zip(t, t[1:]):
-        last = 0.1 * (1000 / (b - a)) + 0.9 * last
+    df = spark.createDataFrame([("u", m) for m in ms], "k string, ms bigint").withColumn("at", F.timestamp_millis("ms"))
+    rows = study.frame_rate(df, ["k"], "at").orderBy("ms").collect()
+    want, last = [0.0], 0.0
+    for a, b in zip(ms, ms[1:]):
+        last = 0.1 * (1000 / (b - a)) + 0.9 * last if b > a else last
         want.append(last)
     assert [r.fps for r in rows] == pytest.approx(want)
     m = spark.createDataFrame([("u", i, float(i)) for i in range(20)], "k string, n bigint, v double")

@@ -137,14 +137,10 @@ class PhysioConfig:
 class StudyPlan:
     """Timing and controller limits of one study session."""
 
-    baseline_seconds: int = 60
     easy_item_count: int = 12
-    easy_exposure_seconds: float = 5.5
     hard_item_count: int = 18
-    hard_exposure_seconds: float = 3.5
     hard_interference_enabled: bool = True
     recognition_choices: int = 4
-    micro_break_seconds: int = 60
     max_micro_breaks: int = 2
     cooldown_seconds: int = 120
     decision_window_seconds: int = 5

@@ -1,86 +1,57 @@
 """Paired-associate items: seeded block selection and recognition choices.
 
-Item lists are a fixed dimension (two forms, two difficulties, at most 18 items a block); the volume
-is in the participants. Everything happens inside the participant's row, without a join or a shuffle.
+Items are a table like any dimension: form, difficulty, position, id, cue, target, interference_group. A block holds a few
+dozen at most; the volume is in the participants. After one join on form and difficulty everything happens inside the
+participant's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import as_column
+from tidemark.config import StudyPlan
 from tidemark.functions.seeded import reshuffle_seed, seeded_shuffle
 from tidemark.functions.text import uint32_hash
+from tidemark.operators.sequence import key_join
 
-# Cue and target words of the two forms.
-PAIRS = {
-    ("A", "easy"): """
-        river lantern, apple harbor, pillow cactus, ticket planet, garden violin, window pepper,
-        cloud pocket, hammer sunset, forest button, sandal museum, pencil island, orange bridge
-    """,
-    ("A", "hard"): """
-        orbit quartz, quiver opal, syrup glyph, symbol grit, merit chisel, matrix chisle,
-        copper thimble, cobalt thistle, radius velvet, radial vellum, plasma anklet, prism ankle,
-        temple cipher, tempo cypher, vector murmur, vertex murmure, fossil ledger, fractal legion
-    """,
-    ("B", "easy"): """
-        beach notebook, candle valley, camera walnut, teacup anchor, basket orbit, station canvas,
-        meadow thunder, magnet tablet, cookie scooter, helmet seagull, rabbit engine, mirror blanket
-    """,
-    ("B", "hard"): """
-        syntax brindle, synapse brandy, riddle quarry, rigor query, binary trident, bindle tridant,
-        pollen cadence, polarity cadent, timber vortex, timbre vertex, signal ransom, sigma ransack,
-        tenant glimmer, tendon glimmer, plunge kernel, plinth colonel, dorsal fablet, postal tablet
-    """,
-}
-
-ITEM = "struct<id:string,cue:string,target:string,difficulty:string,interference_group:string>"
-
-
-def form_items(form: str, difficulty: str) -> list[tuple[str, str, str, str, str]]:
-    """Items of a form in their printed order; two neighbours share an interference group."""
-    out = []
-    for n, pair in enumerate(PAIRS[(form, difficulty)].split(","), start=1):
-        cue, target = pair.split()
-        item_id = f"{form}-{difficulty[0].upper()}{n:02d}"
-        out.append((item_id, cue, target, difficulty, f"{difficulty}-g{(n + 1) // 2}"))
-    return out
-
-
-def _item_list(form: str, difficulty: str) -> Column:
-    names = ["id", "cue", "target", "difficulty", "interference_group"]
-    return F.array(
-        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, item)]) for item in form_items(form, difficulty)]
-    )
+BLOCK = ["form", "difficulty"]
+
+
+def first_items(candidates: DataFrame, plan: StudyPlan = StudyPlan(), position: str = "position") -> DataFrame:
+    """The items of each form and difficulty that a session shows, with their ``place`` from 1."""
+    shown = F.when(F.col("difficulty") == "easy", plan.easy_item_count).otherwise(plan.hard_item_count)
+    place = F.row_number().over(Window.partitionBy(*BLOCK).orderBy(position))
+    most = max(plan.easy_item_count, plan.hard_item_count)
+    return candidates.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= shown)
 
 
-def items_of(form: Column | str, difficulty: Column | str) -> Column:
-    """Item list of a form and difficulty, NULL for an unknown pair."""
-    form, difficulty = as_column(form), as_column(difficulty)
-    out = None
-    for f, d in PAIRS:
-        hit = (form == f) & (difficulty == d)
-        out = F.when(hit, _item_list(f, d)) if out is None else out.when(hit, _item_list(f, d))
-    return out
+def item_pools(items: DataFrame, position: str = "position") -> DataFrame:
+    """One row a form and difficulty with its items, as structs, in their order."""
+    item = F.struct("id", "cue", "target", "difficulty", "interference_group")
+    listed = F.sort_array(F.collect_list(F.struct(F.col(position), item.alias("item"))))
+    return items.groupBy(*BLOCK).agg(F.transform(listed, lambda x: x["item"]).alias("_pool"))
 
 
 def block_items(
-    df: DataFrame,
-    seed_input: str = "participant_id",
-    form: str = "form",
-    difficulty: str = "difficulty",
-    count: int | None = None,
-    name: str = "items",
+    df: DataFrame, items: DataFrame, seed_input: str = "participant_id", count: int | None = None, name: str = "items"
 ) -> DataFrame:
-    """Add the participant's own order of the items, cut to ``count`` items."""
-    seed = uint32_hash(F.concat_ws(":", seed_input, form, difficulty))
+    """Add the participant's own order of the items of a form and difficulty, cut to ``count`` items."""
+    seed = uint32_hash(F.concat_ws(":", seed_input, *BLOCK))
     shuffled = seeded_shuffle(F.col("_pool"), seed)
-    return (
-        df.withColumn("_pool", items_of(form, difficulty))
-        .withColumn(name, shuffled if count is None else F.slice(shuffled, 1, count))
-        .drop("_pool")
-    )
+    joined = key_join(df, item_pools(items), BLOCK, "left")
+    return joined.withColumn(name, shuffled if count is None else F.slice(shuffled, 1, count)).drop("_pool")
+
+
+def _others(item: str = "item", items: str = "items") -> Column:
+    return F.filter(items, lambda c: c["id"] != F.col(f"{item}.id"))
+
+
+def distractors(df: DataFrame, items: str = "items") -> DataFrame:
+    """One row an item of a block with its candidates for wrong answers and those of its own interference group."""
+    wrong = F.filter(_others("item", items), lambda c: c["target"] != F.col("item.target"))
+    same = F.filter("candidates", lambda c: c["interference_group"] == F.col("item.interference_group"))
+    return df.withColumn("item", F.explode(items)).withColumn("candidates", wrong).withColumn("same_group", same)
 
 
 def recognition_choices(
@@ -95,7 +66,7 @@ def recognition_choices(
     Wrong answers come first from the item's own interference group, then from the rest of the block,
     each target once and never the right one.
     """
-    others = F.filter(items, lambda c: c["id"] != F.col("item.id"))
+    others = _others("item", items)
     if interference:
         same = F.filter("_others", lambda c: c["interference_group"] == F.col("item.interference_group"))
         rest = F.filter("_others", lambda c: c["interference_group"] != F.col("item.interference_group"))

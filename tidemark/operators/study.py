@@ -132,9 +132,16 @@ def session_timing(
 # --- record storage ------------------------------------------------------------------------------
 
 
-def finalize(drafts: DataFrame, finals: DataFrame, written: DataFrame, order: str = "saved_at") -> tuple[DataFrame, DataFrame]:
-    """New snapshots of drafts and finals: a final write replaces by record id and removes the draft."""
-    merged = latest_per_key(finals.unionByName(written, allowMissingColumns=True), ["record_id"], [F.desc(order)])
+def finalize(
+    drafts: DataFrame, finals: DataFrame, written: DataFrame, order: str = "saved_at", sequence: str = "write_seq"
+) -> tuple[DataFrame, DataFrame]:
+    """New snapshots of drafts and finals: a final write replaces the stored record and removes the draft.
+
+    A write wins whatever the stamps; of several writes of a record the one with the highest ``sequence`` stays.
+    """
+    last = latest_per_key(written, ["record_id"], [F.desc(sequence)]).drop(sequence)
+    kept = key_join(finals, last.select("record_id"), ["record_id"], "left_anti")
+    merged = kept.unionByName(last, allowMissingColumns=True)
     open_drafts = key_join(
         latest_per_key(drafts, ["record_id"], [F.desc(order)]), merged.select("record_id"), ["record_id"], "left_anti"
     )
@@ -324,23 +331,22 @@ def recent_mean(df: DataFrame, keys: Sequence[str], idx: str, value: str, rows:
     return halo.withColumn("recent_mean", F.avg(value).over(order)).where("_own").drop("_own", CHUNK)
 
 
-def frame_rate(df: DataFrame, keys: Sequence[str], idx: str, at: str, alpha: float = 0.1) -> DataFrame:
-    """Running rate estimate: moving average of 1 / (time step), from 0, over steps longer than nothing.
+def frame_rate(df: DataFrame, keys: Sequence[str], at: str, chunk_s: int = 86400, alpha: float = 0.1) -> DataFrame:
+    """All rows with ``fps``: moving average of 1 / (time step), from 0 at a key's first time.
 
-    ``idx`` numbers the rows of a key from 0. A step of no length leaves the estimate as it is, so such
-    rows are taken out; the index must be made after that.
+    A step of no length leaves the estimate as it is, so rows of one time share it: steps run over distinct times.
     """
-    from tidemark.operators.sequence import CHUNK, ewma, with_halo
+    from tidemark.operators.sequence import CHUNK, ewma, null_safe_join, time_chunk, with_halo, with_index
 
-    size = 16384
-    rows = with_halo(df, idx, size, before=1)
-    order = Window.partitionBy(*keys, CHUNK).orderBy(idx)
+    times = df.where(F.col(at).isNotNull()).select(*keys, at).distinct()
+    rows = with_halo(with_index(times, keys, [at], time_chunk(at, chunk_s), "_n"), "_n", 16384, before=1)
+    order = Window.partitionBy(*keys, CHUNK).orderBy("_n")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     steps = (
         rows.withColumn("_dt", (micros - F.lag(micros).over(order)) / F.lit(1e6))
-        .where(F.col("_own") & (F.col("_dt") > 0))
-        .withColumn("_rate", F.lit(1.0) / F.col("_dt"))
-        .withColumn("_step", F.col(idx) - 1)
+        .where(F.col("_own") & (F.col("_n") > 0))
+        .withColumns({"_rate": F.lit(1.0) / F.col("_dt"), "_step": F.col("_n") - 1})
         .drop("_own", CHUNK)
     )
-    return ewma(steps, keys, "_step", "_rate", alpha, 0.0, "fps").drop("_dt", "_rate", "_step")
+    rates = ewma(steps, keys, "_step", "_rate", alpha, 0.0, "fps").select(*keys, at, "fps")
+    return null_safe_join(df, rates, [*keys, at], "left").withColumn("fps", F.coalesce("fps", F.lit(0.0)))

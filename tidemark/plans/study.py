@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import StudyPlan
 from tidemark.operators import export, stimuli, study
 from tidemark.plans.tables import (
     FINALS_SQL,
@@ -23,6 +24,7 @@ from tidemark.plans.tables import (
     trials,
 )
 
+PLAN = StudyPlan()
 NOW = "1998-06-01 12:00:00"
 NOW_US = 896_702_400_000_000
 
@@ -53,14 +55,34 @@ def participant_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items of two forms and two difficulties; neighbours share an interference group."""
+    parts = load(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("form"),
+        F.when(F.col("p_size") <= 25, "easy").otherwise("hard").alias("difficulty"),
+        F.col("p_partkey").alias("position"),
+        F.col("p_name").alias("cue"),
+        F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("target"),
+    )
+    first = stimuli.first_items(parts, PLAN)
+    return first.select(
+        "form",
+        "difficulty",
+        "position",
+        F.concat_ws("-", "form", "difficulty", F.col("place").cast("string")).alias("id"),
+        "cue",
+        "target",
+        F.concat(F.col("difficulty"), F.lit("-g"), F.floor((F.col("place") + 1) / F.lit(2.0)).cast("string")).alias("interference_group"),
+    )
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = load(spark, sf_dir, "customer").select(
         F.col("c_name").alias("participant_id"),
         F.when(F.col("c_nationkey") % 2 == 0, "A").otherwise("B").alias("form"),
         F.when(F.col("c_acctbal") > 4000, "easy").otherwise("hard").alias("difficulty"),
     )
-    # A small row grows into a whole block of work: spread the rows before that.
-    return stimuli.block_items(people.repartition(spark.sparkContext.defaultParallelism))
+    return stimuli.block_items(people, _items(spark, sf_dir))
 
 
 def block_item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +92,7 @@ def block_item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recognition_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stimuli.recognition_choices(_blocks(spark, sf_dir))
+    out = stimuli.recognition_choices(_blocks(spark, sf_dir), choices=PLAN.recognition_choices, interference=PLAN.hard_interference_enabled)
     return out.select(
         "participant_id",
         F.col("item.id").alias("item_id"),
@@ -81,11 +103,9 @@ def recognition_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distractor_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for wrong answers per block item: how many share the group, how many remain."""
-    out = _blocks(spark, sf_dir).withColumn("item", F.explode("items"))
-    others = F.filter("items", lambda c: (c["id"] != F.col("item.id")) & (c["target"] != F.col("item.target")))
-    same = F.filter(others, lambda c: c["interference_group"] == F.col("item.interference_group"))
+    out = stimuli.distractors(_blocks(spark, sf_dir))
     return out.select(
-        "participant_id", F.col("item.id").alias("item_id"), F.size(same).alias("same_group"), F.size(others).alias("candidates")
+        "participant_id", F.col("item.id").alias("item_id"), F.size("same_group").alias("same_group"), F.size("candidates").alias("candidates")
     )
 
 
@@ -119,7 +139,10 @@ def _writes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     rows = finals(spark, sf_dir).select("record_id", "participant_id", "status", F.col("started_at").alias("saved_at"), "price")
     drafts = rows.where("status <> 'O'").withColumn("record_id", F.floor(F.col("record_id") / 2.0))
     stored = rows.where("status = 'F'")
-    written = rows.where("status = 'P'").withColumn("record_id", F.col("record_id") - 1)
+    # Some records are written twice, the later write under an older stamp than the first and than the stored record.
+    first = rows.where("status = 'P'").withColumns({"record_id": F.col("record_id") - 1, "write_seq": F.lit(1)})
+    again = first.where("record_id % 3 = 0").withColumns({"saved_at": F.col("saved_at") - 1000, "write_seq": F.lit(2)})
+    written = first.union(again)
     return drafts, stored, written
 
 
@@ -315,11 +338,13 @@ def _hash(s: str) -> str:
 
 
 def _items_sql() -> str:
-    rows = []
-    for form, difficulty in stimuli.PAIRS:
-        for n, item in enumerate(stimuli.form_items(form, difficulty)):
-            rows.append("(" + ", ".join(f"'{v}'" for v in (form, *item)) + f", {n})")
-    return "items(form, id, cue, target, difficulty, grp, n) AS (VALUES " + ", ".join(rows) + ")"
+    return f"""parts AS (
+  SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS form, CASE WHEN p_size <= 25 THEN 'easy' ELSE 'hard' END AS difficulty,
+         p_name AS cue, p_brand || ' ' || p_size AS target, p_partkey FROM part),
+ranked_parts AS (SELECT *, row_number() OVER (PARTITION BY form, difficulty ORDER BY p_partkey) AS n FROM parts),
+items AS (
+  SELECT form, form || '-' || difficulty || '-' || n AS id, cue, target, difficulty, difficulty || '-g' || ((n + 1) // 2) AS grp, n
+  FROM ranked_parts WHERE n <= CASE difficulty WHEN 'easy' THEN {PLAN.easy_item_count} ELSE {PLAN.hard_item_count} END)"""
 
 
 def _shuffle_sql(name: str, source: str, seed: str, items: str, key: str) -> str:
@@ -377,9 +402,12 @@ _FOUR = (
 _WRITES_SQL = FINALS_SQL + """,
 rows_ AS (SELECT record_id, participant_id, status, started_at AS saved_at FROM finals),
 drafts AS (SELECT record_id // 2 AS record_id, saved_at FROM rows_ WHERE status <> 'O'),
+written AS (
+  SELECT record_id - 1 AS record_id, saved_at, 1 AS seq FROM rows_ WHERE status = 'P'
+  UNION ALL SELECT record_id - 1, saved_at - 1000, 2 FROM rows_ WHERE status = 'P' AND (record_id - 1) % 3 = 0),
 merged AS (
-  SELECT record_id, max(saved_at) AS saved_at
-  FROM (SELECT record_id, saved_at FROM rows_ WHERE status = 'F' UNION ALL SELECT record_id - 1, saved_at FROM rows_ WHERE status = 'P') GROUP BY ALL)
+  SELECT record_id, saved_at FROM rows_ WHERE status = 'F' AND record_id NOT IN (SELECT record_id FROM written)
+  UNION ALL SELECT record_id, arg_max(saved_at, seq) FROM written GROUP BY record_id)
 """
 _RESULTS = "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30"
 _PHASES = "['baseline','learn_easy','test_easy_recognition','test_easy_cued','learn_hard','test_hard_recognition','test_hard_cued','break','nasa_tlx','complete']"

@@ -134,12 +134,10 @@ def smoothed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_rate_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = events(spark, sf_dir).select("user_id", "event_id", "ts", "ts_us")
-    day = number_chunk("ts_us", DAY_US)
-    indexed = with_index(df, ["user_id"], ["ts_us", "event_id"], day, "frame_idx")
-    out = study.frame_rate(indexed, ["user_id"], "frame_idx", "ts")
-    # Events lie minutes apart: rates per hour keep six digits meaningful.
-    return rounded(out.select("user_id", "frame_idx", (F.col("fps") * 3600).alias("per_hour")))
+    # Times cut to the day: many are equal. Rates per hour keep six digits meaningful.
+    df = events(spark, sf_dir).select("user_id", "event_id", F.date_trunc("day", "ts").alias("at"))
+    out = study.frame_rate(df, ["user_id"], "at")
+    return rounded(out.select("user_id", "event_id", (F.col("fps") * 3600).alias("per_hour")))
 
 
 def events_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,13 +384,14 @@ ORACLES = {
           FROM walk w JOIN frames f ON f.user_id = w.user_id AND f.task = w.task AND f.frame_idx = w.frame_idx + 1)
         SELECT user_id, task, frame_idx, round(cli, 6) AS cli, round(smoothed, 6) AS smoothed FROM walk""",
     "frame_rate_estimate": f"""WITH RECURSIVE {EVENTS_SQL},
-        n AS (SELECT user_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) - 1 AS frame_idx FROM ev),
+        d AS (SELECT event_id, user_id, ts_us // 86400000000 AS day FROM ev),
+        n AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i FROM (SELECT DISTINCT user_id, day FROM d)),
         walk AS (
-          SELECT user_id, frame_idx, ts_us, CAST(0.0 AS DOUBLE) AS fps FROM n WHERE frame_idx = 0
+          SELECT user_id, i, day, CAST(0.0 AS DOUBLE) AS fps FROM n WHERE i = 0
           UNION ALL
-          SELECT n.user_id, n.frame_idx, n.ts_us, 0.1 * (1e6 / (n.ts_us - w.ts_us)) + 0.9 * w.fps
-          FROM walk w JOIN n ON n.user_id = w.user_id AND n.frame_idx = w.frame_idx + 1)
-        SELECT user_id, frame_idx, round(fps * 3600, 6) AS per_hour FROM walk WHERE frame_idx > 0""",
+          SELECT n.user_id, n.i, n.day, 0.1 * (1.0 / ((n.day - w.day) * 86400)) + 0.9 * w.fps
+          FROM walk w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+        SELECT user_id, event_id, round(fps * 3600, 6) AS per_hour FROM d JOIN walk USING (user_id, day)""",
     "events_per_hour": f"""WITH {EVENTS_SQL},
         h AS (SELECT ts_us // 3600000000 AS hour, count(*) AS n, max(ts_us) AS last_us FROM ev GROUP BY ALL)
         SELECT hour, n, CAST(round(n / ((last_us - hour * 3.6e9) / 1e6) * 60) AS BIGINT) AS per_minute FROM h""",

@@ -18,12 +18,15 @@ METADATA = ["user_id", "task", "video", "label", "role", "t_start_s", "t_end_s"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables: in the cluster's checkpoint folder, else a temporary one.
+    """A new folder for intermediate tables in the cluster's checkpoint folder.
 
-    The temporary folder is for single-machine sessions such as tests only.
+    A session of one machine (tests) that names none gets a temporary folder; any other gets an error, because its
+    executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
@@ -108,9 +111,11 @@ def write_export(tables: Mapping[str, DataFrame], path: str) -> None:
         write_csv(table, os.path.join(path, name))
 
 
-def write_bundles(rows: DataFrame, path: str) -> None:
-    """Participant packages: one folder of JSON lines per participant."""
-    rows.write.mode("overwrite").partitionBy("participant_id").json(path)
+def write_bundles(rows: DataFrame, path: str, buckets: int = 256) -> None:
+    """Participant packages as JSON lines, in buckets by participant: a package lies in one file, files stay few."""
+    bucket = F.pmod(F.xxhash64("participant_id"), F.lit(buckets))
+    dealt = rows.withColumn("bucket", bucket).repartition(F.col("bucket")).sortWithinPartitions("bucket", "participant_id")
+    dealt.write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_json(spark: SparkSession, data: Any, path: str) -> None:

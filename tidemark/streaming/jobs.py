@@ -68,10 +68,11 @@ def run_available(
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
-def stream_table(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = 64) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of parquet files as a stream.
 
-    The limit per micro-batch also bounds what one key can bring into one task at a time.
+    The keyed operators order rows inside a micro-batch and take batches as they come. Set ``files_per_trigger`` only
+    for files that follow each other in time; without it all files that are there make one batch, in any order.
     """
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_trigger:
