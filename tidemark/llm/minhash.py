@@ -9,9 +9,11 @@ compared in full up to distance 33, more than five standard deviations above the
 
 No key's members are multiplied out. Equal sets are one class. In a first round the members of a key are compared with
 the key's leader; in ``CHAINS`` further ones each with its neighbour in a random order of the key's members; each document
-confirms its nearest such partner, and confirmed links make components. Only pairs that then still lie in different
-components are enumerated, filtered by size and signature distance, and confirmed. Every pair under a common key is thus
-either confirmed, refuted or already connected, so the components are those of all links.
+confirms its nearest such partner, and confirmed links make components. Documents whose keys then still hold several
+components count their shingles in parts of the hash space, without those no other such document has. The common part of
+a pair is at most the sum of the smaller counts, which bounds the sizes a partner can have; pairs of different components
+within these bounds are enumerated, filtered by signature distance, and confirmed. Every pair under a common key is thus either confirmed, refuted or
+already connected, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ PERCENT = 75
 CHAINS = 2
 #: Members of a key that stand in one chain; larger keys have several, dealt anew in each round.
 CHAIN_ROWS = 10_000
+#: Ratio of the sizes that bound a slice of the last join.
+SLICE = 1.1
+#: Parts of the hash space in which shared shingles are counted apart.
+PARTS = 32
+PART = [f"c{i}" for i in range(PARTS)]
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 
 
@@ -166,6 +173,75 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ready.mapInPandas(run, "a long, b long")
 
 
+def _by_hash(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of ``PARTS`` parts of the hash space."""
+    return np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+
+
+def _shared(still: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``still`` with ``shared``, how many of a document's shingles some other open document has, and that by part.
+
+    For an id that several texts have, all shingles count as shared and each count is the largest of its texts.
+    """
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in by_bytes(texts):
+                sets = shingle_sets(texts[lo:hi])
+                docs = np.repeat(batch["doc_id"].to_numpy()[lo:hi], [len(s) for s in sets])
+                yield pd.DataFrame({"rep": docs, "shingle": np.concatenate(sets).view(np.int64)})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in by_bytes(texts):
+                own = [np.array([] if o is None else o, np.int64).view(np.uint64) for o in batch["own"].iloc[lo:hi]]
+                parts = np.array([_by_hash(s) - _by_hash(o) for s, o in zip(shingle_sets(texts[lo:hi]), own)])
+                yield pd.DataFrame({"rep": batch["doc_id"].iloc[lo:hi].to_numpy()} | {c: parts[:, i] for i, c in enumerate(PART)})
+
+    opened = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shingles = opened.mapInPandas(split, "rep long, shingle long").groupBy("shingle")
+    alone = shingles.agg(F.count("*").alias("docs"), F.min("rep").alias("doc_id")).where("docs = 1")
+    alone = alone.join(repeated.withColumnRenamed("rep", "doc_id"), "doc_id", "left_anti")
+    own = alone.groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
+    parts = opened.join(own, "doc_id", "left").select("doc_id", "text", "own")
+    parts = parts.mapInPandas(count, "rep long, " + ", ".join(f"{c} int" for c in PART))
+    parts = parts.groupBy("rep").agg(*[F.max(c).alias(c) for c in PART])
+    return still.join(parts, "rep").withColumn("shared", sum((F.col(c) for c in PART), F.lit(0)))
+
+
+def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components under a common key that can reach the threshold by their sizes and shared shingles.
+
+    With I common shingles of sets of x and y, the threshold is (100 + P) * I >= P * (x + y), and I is at most the sum
+    over the parts of the smaller of both shared counts. The smaller set of a pair must pass with a partner of its own
+    size; the larger one has a largest partner, ``top``, and a smallest, ``low``.
+    """
+    rows = stage(_shared(still, texts, reps.groupBy("rep").count().where("count > 1").select("rep")), "shared")
+    # None of these is NULL; said so, the condition of the join compiles to code short enough for the JIT.
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*PART, "shared", "component", "n", "rep"]})
+    whole = 100 + PERCENT
+    size = lambda n: F.floor(F.log(n) / float(np.log(SLICE)))
+    small = rows.where(whole * F.col("shared") >= 2 * PERCENT * F.col("n")).withColumn("slice", size(F.col("n")))
+    held = small.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    low = F.ceil(F.col("n") * PERCENT / 100)
+    top = F.least("n", F.floor(whole * F.col("shared") / PERCENT).cast("long") - F.col("n"))
+    large = rows.join(held, "key").where("lo <> component or hi <> component")
+    large = large.withColumn("low", F.greatest(low, "least")).withColumn("top", F.least(top, "most")).where("low <= top")
+    large = large.withColumn("slice", F.explode(F.sequence(size(F.col("low")), size(F.col("top")))))
+    x, y = small.alias("x"), large.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    common = F.expr(" + ".join(f"if(x.{c} < y.{c}, x.{c}, y.{c})" for c in PART))
+    fits = (whole * F.least("x.shared", "y.shared") >= PERCENT * both) & (whole * common >= PERCENT * both)
+    ordered = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
+    apart = F.col("x.component") != F.col("y.component")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & apart & ordered & fits)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -201,9 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(1, CHAINS + 1):
         first = first.union(stage(_confirmed(_nearest(_chain(placed(first), turn), reps), texts), "links"))
     still = placed(first)
-    x, y = still.alias("x"), still.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes_fit("x.n", "y.n"))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    across = _across(still, reps, texts)
     second = stage(_confirmed(_near(across, reps), texts), "links")
 
     links = first.union(second).union(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
