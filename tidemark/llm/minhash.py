@@ -93,16 +93,32 @@ def _keys() -> Column:
     return F.array(*out)
 
 
-def _distance(a: str, b: str) -> Column:
-    """Differing positions of two signatures: codes of the xor are folded to their lowest bit and counted."""
+def _errors(a: str, b: str, name: str) -> Column:
+    """Differing positions of one chunk: codes of the xor are folded to their lowest bit and counted."""
     lowest = sum(1 << (BITS * i) for i in range(WITHIN))
-    total = F.lit(0)
-    for name in SIGNATURE:
-        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-        for shift in (6, 3, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_fold_mask(shift))))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(lowest)))
-    return total
+    x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
+    for shift in (6, 3, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_fold_mask(shift))))
+    return F.bit_count(x.bitwiseAND(F.lit(lowest)))
+
+
+def _distance(a: str, b: str) -> Column:
+    """Differing positions of two signatures."""
+    return sum((_errors(a, b, name) for name in SIGNATURE), F.lit(0))
+
+
+def _first_meeting(a: str, b: str) -> Column:
+    """Whether two signatures that share the key of slot ``a.slot`` share that of no smaller slot.
+
+    Equal chunks meet under all their ``WITHIN`` slots, chunks with one error under one.
+    """
+    first = F.lit(True)
+    for c, name in enumerate(SIGNATURE):
+        later = F.col(f"{a}.slot") >= (c + 1) * WITHIN
+        here = (F.col(f"{a}.slot") > c * WITHIN) & (F.col(f"{a}.slot") < (c + 1) * WITHIN)
+        first = first & ~(later & (_errors(a, b, name) < 2))
+        first = first & ~(here & (F.col(f"{a}.{name}") == F.col(f"{b}.{name}")))
+    return first
 
 
 def _fold_mask(shift: int) -> int:
@@ -216,11 +232,14 @@ def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
 
     With I common shingles of sets of x and y, the threshold is (100 + P) * I >= P * (x + y), and I is at most the sum
     over the parts of the smaller of both shared counts. The smaller set of a pair must pass with a partner of its own
-    size; the larger one has a largest partner, ``top``, and a smallest, ``low``.
+    size; the larger one has a largest partner, ``top``, and a smallest, ``low``. A pair that meets under several keys
+    is made under the first of them only.
     """
-    rows = stage(_shared(still, texts, reps.groupBy("rep").count().where("count > 1").select("rep")), "shared")
+    shared = _shared(still, texts, reps.groupBy("rep").count().where("count > 1").select("rep"))
+    rows = stage(shared.join(reps.select("rep", F.col("n_shingles").alias("n"), *SIGNATURE), ["rep", "n"]), "shared")
     # None of these is NULL; said so, the condition of the join compiles to code short enough for the JIT.
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in [*PART, "shared", "component", "n", "rep"]})
+    known = [*PART, *SIGNATURE, "shared", "component", "n", "rep", "slot"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in known})
     whole = 100 + PERCENT
     size = lambda n: F.floor(F.log(n) / float(np.log(SLICE)))
     small = rows.where(whole * F.col("shared") >= 2 * PERCENT * F.col("n")).withColumn("slice", size(F.col("n")))
@@ -238,7 +257,8 @@ def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     fits = (whole * F.least("x.shared", "y.shared") >= PERCENT * both) & (whole * common >= PERCENT * both)
     ordered = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
     apart = F.col("x.component") != F.col("y.component")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & apart & ordered & fits)
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice"))
+    pairs = x.join(y, met & apart & ordered & _first_meeting("x", "y") & fits)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -256,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stage(classes.select("rep", "n_shingles", "h1", "h2", *SIGNATURE), "classes")
     members = full.join(reps.select("rep", *same), same).where("rep <> doc_id").select("doc_id", "rep")
 
-    keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.explode(_keys()).alias("key"))
+    keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode(_keys()).alias("slot", "key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
     keyed = stage(keyed.join(groups, "key"), "keys")
     ids = keyed.select(F.col("rep").alias("doc_id")).distinct()
@@ -267,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Members of keys that still lie in several components of these links."""
         comp = stage(components(links, "a", "b"), "components")
         rows = keyed.join(comp, keyed["rep"] == comp["node"], "left").select(
-            "key", "rep", "n", "members", F.coalesce("component", "rep").alias("component")
+            "key", "slot", "rep", "n", "members", F.coalesce("component", "rep").alias("component")
         )
         several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         return stage(rows.join(several.select("key"), "key", "left_semi"), "open")
