@@ -38,6 +38,30 @@ def test_clamped_quantile_with_coarse_sketch(spark, monkeypatch):
     assert quantiles.exact_quantiles(df, ["x"], [0.95]).first()[0] == pytest.approx(np.percentile(xs, 95))
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "two", "ints"])
+def test_narrowed_quantiles(spark, monkeypatch, kind):
+    """Several sketches, until few rows lie inside a bracket; ties at and around the quantile."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.04)
+    monkeypatch.setattr(quantiles, "INSIDE", 20)
+    rng = random.Random(5)
+    draw = {
+        "spread": lambda: rng.gauss(0, 1),
+        "ties": lambda: rng.choice([0.0, 1.0, rng.random() * 1e-3]),
+        "two": lambda: rng.choice([1.0, 2.0]),
+        "ints": lambda: float(rng.randrange(300)),
+    }[kind]
+    xs = [draw() for _ in range(5000)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double").repartition(5)
+    qs = [0.0, 0.05, 0.5, 0.951, 1.0]
+    got = quantiles.exact_quantiles(df, ["x"], qs).first()
+    assert list(got) == pytest.approx([float(np.quantile(xs, q)) for q in qs], abs=1e-12)
+    for (low, high) in quantiles._brackets(df, [("x", q) for q in qs]):
+        assert sum(low < x < high for x in xs) <= 20
+    assert quantiles.fitted_medians(df, ["x"])["x"] == pytest.approx(float(np.median(xs)))
+    assert quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]).first()[0] is None
+
+
 def test_ranks_spearman_auc(spark):
     rng = random.Random(4)
     rows = [(round(rng.gauss(0, 3), 1), rng.choice([-1.0, 0.0, 0.25, 0.5, 1.0, 8.0]), int(rng.random() < 0.4)) for _ in range(400)]

@@ -3,10 +3,15 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
 sketch first brackets the wanted quantile; values outside the bracket are then clamped to its ends,
 which cannot move the quantile, and the exact aggregate only sees the distinct values inside.
+
+Over a whole table the bracket is narrowed by further sketches of the rows inside it until at most
+``INSIDE`` rows are left between its ends, so the state of the last step does not grow with the table.
+Per key (``grouped_medians``) there is one sketch, and the bracket holds a fixed share of a key's rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +24,8 @@ ACCURACY = 20000
 # Twice the rank error the sketch guarantees.
 MARGIN = 2.0 / ACCURACY
 SALTS = 16
+# Rows that may lie strictly between the ends of a bracket when the exact aggregate runs.
+INSIDE = 10_000
 
 
 def _bracket(c: Column, q: float) -> Column:
@@ -30,33 +37,65 @@ def _clamped(c: Column, bracket: Column) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, bracket[0]), bracket[1]))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
-    """One row with ``<column>_q<n>`` (n-th entry of ``qs``) over the whole table, linear interpolation."""
-    pairs = [(c, n, q) for c in columns for n, q in enumerate(qs)]
-    sketch = df.agg(F.struct(*[_bracket(finite(c), q).alias(f"{c}_q{n}") for c, n, q in pairs]).alias("b"))
-    bounds = sketch.scalar()
-    clamped = df.select(*[_clamped(finite(c), bounds[f"{c}_q{n}"]).alias(f"{c}_q{n}") for c, n, _ in pairs])
-    return clamped.agg(*[F.percentile(f"{c}_q{n}", q).alias(f"{c}_q{n}") for c, n, q in pairs])
+def _share(q: float, n: int, below: int, inside: int) -> tuple[float, float]:
+    """Where the two values around a quantile of ``n`` rows lie among the rows inside a bracket, with the margin."""
+    rank = q * (n - 1)
+    return (math.floor(rank) - below) / inside - MARGIN, (math.ceil(rank) + 1 - below) / inside + MARGIN
 
 
-def fitted_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians as plain numbers for a fitted model: two passes, two numbers per column each.
+def _brackets(df: DataFrame, wanted: Sequence[tuple[str, float]]) -> list[tuple[float, float] | None]:
+    """Per (column, quantile) the ends of a bracket with at most ``INSIDE`` rows strictly between them.
 
-    A column without any value gets 0.
+    A round keeps a share of about 6 / ``ACCURACY`` of the rows inside, so a table of 10^12 rows takes three
+    sketches. A column without any value has no bracket.
     """
-    sketch = df.agg(*[_bracket(finite(c), 0.5).alias(c) for c in columns]).first()
-    known = [c for c in columns if sketch[c] is not None]
-    if not known:
-        return dict.fromkeys(columns, 0.0)
-    exact = df.agg(
-        *[
-            F.percentile(
-                F.when(finite(c).isNotNull(), F.least(F.greatest(c, F.lit(sketch[c][0])), F.lit(sketch[c][1]))), 0.5
-            ).alias(c)
-            for c in known
-        ]
+    every = range(len(wanted))
+    row = df.agg(
+        *[F.count(finite(c)).alias(f"n{i}") for i, (c, _) in enumerate(wanted)],
+        *[_bracket(finite(c), q).alias(f"b{i}") for i, (c, q) in enumerate(wanted)],
     ).first()
-    return {c: exact[c] if c in known else 0.0 for c in columns}
+    ends = [tuple(row[f"b{i}"]) if row[f"b{i}"] is not None else None for i in every]
+    within = lambda i: (F.col(wanted[i][0]) > F.lit(ends[i][0])) & (F.col(wanted[i][0]) < F.lit(ends[i][1]))
+    # The sketch's guarantee bounds the rows inside; they are counted only where it does not suffice.
+    wide = [i for i in every if ends[i] and ends[i][0] < ends[i][1] and 3 * MARGIN * row[f"n{i}"] > INSIDE]
+    while wide:
+        counts = df.agg(
+            *[F.count(F.when(finite(wanted[i][0]) <= F.lit(ends[i][0]), 1)).alias(f"l{i}") for i in wide],
+            *[F.count(F.when(finite(wanted[i][0]).isNotNull() & within(i), 1)).alias(f"m{i}") for i in wide],
+        ).first()
+        wide = [i for i in wide if counts[f"m{i}"] > INSIDE]
+        if not wide:
+            break
+        shares = {i: _share(wanted[i][1], row[f"n{i}"], counts[f"l{i}"], counts[f"m{i}"]) for i in wide}
+        inner = df.agg(
+            *[
+                F.percentile_approx(
+                    F.when(within(i), finite(wanted[i][0])), [min(max(x, 0.0), 1.0) for x in shares[i]], ACCURACY
+                ).alias(f"b{i}")
+                for i in wide
+            ]
+        ).first()
+        for i in wide:
+            low, high = inner[f"b{i}"]
+            ends[i] = (low if shares[i][0] > 0 else ends[i][0], high if shares[i][1] < 1 else ends[i][1])
+    return ends
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """One row with ``<column>_q<n>`` (n-th entry of ``qs``) over the whole table, linear interpolation."""
+    wanted = [(c, q) for c in columns for q in qs]
+    names = [f"{c}_q{n}" for c in columns for n in range(len(qs))]
+    values = []
+    for (c, q), name, ends in zip(wanted, names, _brackets(df, wanted), strict=True):
+        clamped = _clamped(finite(c), [F.lit(e) for e in ends]) if ends else F.lit(None).cast("double")
+        values.append(F.percentile(clamped, q).alias(name))
+    return df.agg(*values)
+
+
+def fitted_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians as plain numbers for a fitted model. A column without any value gets 0."""
+    exact = exact_quantiles(df, columns, [0.5]).first()
+    return {c: 0.0 if exact[f"{c}_q0"] is None else exact[f"{c}_q0"] for c in columns}
 
 
 def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
