@@ -53,3 +53,17 @@ def test_escape_is_reversible(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select(chat.escape(F.col("t")), chat.unescape(chat.escape(F.col("t"))), chat.unescape_role(chat.escape_role(F.col("t")))).collect()
     assert [r[1] for r in got] == texts == [r[2] for r in got] and not any("<|" in r[0] for r in got)
+
+
+def test_end_alone_is_escaped(spark):
+    texts = ["a<|im_end|>b", "\n<|im_end|>\n", "<|im_end|>", "<|im_end|><|im_end|>", "<|im_end|>\n<|im_end|>\n", "<|im_end|", r"<\|im_end|>"]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(i, 1, "user", "plain") for i in range(len(texts))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(table)
+    found = {r.conv_id: r for r in formatted.collect()}
+    assert [found[i].escapes for i in range(len(texts))] == [1, 1, 1, 1, 1, 0, 1]
+    for r in found.values():
+        assert r.formatted.count(chat.END) == r.formatted.count(chat.START) == 2
+        (span,) = r.loss_spans
+        assert chat.END not in r.formatted[span.start : span.start + span.length]
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.digests(formatted).collect()} == brute_force(rows)

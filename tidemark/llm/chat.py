@@ -41,12 +41,16 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>> of a rendered conversation; NULL if it is not of the grammar."""
+    """array<struct<role, text>> of a rendered conversation; NULL if it is not of the grammar.
+
+    A turn ends at its first ``<|im_end|>``, so one anywhere but at the close of a turn is an error.
+    """
     parts = F.split(formatted, r"<\|im_start\|>", -1)
     turns = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     close = END + "\n"
     line = lambda t: F.instr(t, F.lit("\n"))
-    good = (F.element_at(parts, 1) == "") & F.forall(turns, lambda t: (line(t) > 0) & F.endswith(t, F.lit(close)))
+    closed = lambda t: F.endswith(t, F.lit(close)) & (F.instr(t, F.lit(END)) == F.length(t) - len(close) + 1)
+    good = (F.element_at(parts, 1) == "") & F.forall(turns, lambda t: (line(t) > 0) & closed(t))
     read = F.transform(
         turns,
         lambda t: F.struct(
