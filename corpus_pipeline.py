@@ -17,7 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or mostly in other languages go."""
     docs = docs.select(*COLUMNS)
-    return langid.accepted(docs, langid.fit(langid.training_rows(docs)))
+    rows = langid.training_rows(docs)
+    model = langid.fit(rows)
+    return langid.accepted(docs, model, langid.floors(model, rows))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,26 @@ def test_odd_rows(odd_documents, no_documents):
     assert [got[i] for i in (3, 4, 5, 10)] == ["und"] * 4 and got[8] != "und"
     assert langid.identify(no_documents, langid.fit(langid.training_rows(no_documents))).collect() == []
     assert {r.lang_pred for r in langid.identify(odd_documents, langid.fit([])).collect()} == {"und"}
+
+
+FOREIGN = {
+    "zh": "委员会昨天决定推迟对预算的讨论，因为该地区的一些重要文件仍然缺失。",
+    "th": "คณะกรรมการ ตัดสินใจ เมื่อวานนี้ ให้ เลื่อน การอภิปราย",
+    "zh_some_en": "委员会昨天决定推迟对预算的讨论因为该地区的一些重要文件仍然缺失 the of",
+    "fi": "Valiokunta päätti eilen lykätä talousarviota koskevaa keskustelua koska joitakin tärkeitä asiakirjoja puuttui vielä. ",
+    "pl": "Komisja zdecydowała wczoraj odłożyć dyskusję nad budżetem ponieważ brakowało jeszcze kilku ważnych dokumentów. ",
+    "it": "La commissione ha deciso ieri di rinviare la discussione sul bilancio perché mancavano ancora alcuni documenti. ",
+}
+
+
+def test_foreign_documents_are_not_accepted(spark, documents):
+    rows = langid.training_rows(documents)
+    model = langid.fit(rows)
+    floors = langid.floors(model, rows)
+    docs = documents.select("doc_id", "text")
+    texts = [t * 20 if k in ("fi", "pl", "it") else t for k, t in FOREIGN.items()]
+    foreign = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in langid.accepted(docs.union(foreign), model, floors).collect()}
+    assert not kept & set(range(-len(texts), 0))
+    unread = docs.where(langid.held_out() & (documents["lang"].isNotNull())).collect()
+    assert sum(r.doc_id in kept for r in unread) >= 0.98 * len(unread) > 0

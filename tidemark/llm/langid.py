@@ -79,12 +79,17 @@ class LanguageModel:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages, log probabilities
     allowed: np.ndarray  # scripts + 1 x languages
+    counts: np.ndarray  # BUCKETS x languages, n-grams of the training rows
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """words x languages; a language that is no candidate gets a score far below the others."""
+    def word_sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of log probabilities (words x languages), number of n-grams and script of each word."""
         bucket, owner, script = ngrams(words)
-        n = np.maximum(np.bincount(owner, minlength=len(words)), 1)[:, None]
-        out = np.stack([np.bincount(owner, w[bucket], len(words)) for w in self.weights.T], axis=1) / np.sqrt(n)
+        sums = np.stack([np.bincount(owner, w[bucket], len(words)) for w in self.weights.T], axis=1)
+        return sums, np.maximum(np.bincount(owner, minlength=len(words)), 1), script
+
+    def word_scores(self, sums: np.ndarray, n: np.ndarray, script: np.ndarray) -> np.ndarray:
+        """words x languages; a language that is no candidate gets a score far below the others."""
+        out = sums / np.sqrt(n[:, None])
         out -= out.max(axis=1, keepdims=True)
         candidate = self.allowed[script]
         # A script that no language is known for says nothing.
@@ -104,7 +109,51 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
             scripts[:, k] += np.bincount(script, minlength=len(SCRIPTS) + 1)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
     weights = np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * BUCKETS)
-    return LanguageModel(languages, weights, share >= SCRIPT_SHARE)
+    return LanguageModel(languages, weights, share >= SCRIPT_SHARE, counts)
+
+
+@dataclass
+class Floors:
+    """Per language the least mean log probability of a text's n-grams; shorter texts are allowed less."""
+
+    base: np.ndarray
+    spread: np.ndarray  # deviation of the means of single words
+
+    def of(self, language: int, words: int) -> float:
+        return float(self.base[language] - 3 * self.spread[language] / np.sqrt(words))
+
+
+def floors(model: LanguageModel, rows: list[tuple[str, str]]) -> Floors:
+    """Floors from the rows a model was fitted on, each scored without its own n-grams.
+
+    The floor lies as far below the 1 % quantile of a language's texts as that lies below their median.
+    """
+    base, spread = np.full(len(model.languages), -np.inf), np.zeros(len(model.languages))
+    for k, lang in enumerate(model.languages):
+        means, words_of, moments = [], [], np.zeros(3)
+        total = model.counts[:, k].sum()
+        for text, own in rows:
+            words = _WORD.findall(text) if own == lang else []
+            if not words:
+                continue
+            bucket, owner, script = ngrams(words)
+            other = model.counts[:, k] - np.bincount(bucket, minlength=BUCKETS)
+            score = np.log(other[bucket] + 0.5) - np.log(total - len(bucket) + 0.5 * BUCKETS)
+            n = np.bincount(owner, minlength=len(words))
+            known = model.allowed[script, k] & (n > 0)
+            if not known.any():
+                continue
+            sums = np.bincount(owner, score, len(words))[known]
+            single = sums / n[known]
+            means.append(sums.sum() / n[known].sum())
+            words_of.append(len(single))
+            moments += len(single), single.sum(), (single**2).sum()
+        if means:
+            count, first, second = moments
+            spread[k] = np.sqrt(max(second / count - (first / count) ** 2, 0.0))
+            level = np.array(means) + 3 * spread[k] / np.sqrt(words_of)
+            base[k] = 2 * np.quantile(level, 0.01) - np.median(level)
+    return Floors(base, spread)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -143,23 +192,33 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
 
 
 class Labeller:
-    """Labels texts with a model; scores of words are kept in a table of bounded size."""
+    """Labels texts with a model; scores of words are kept in a table of bounded size.
+
+    With ``floors`` it also says whether texts are in a known language.
+    """
 
-    def __init__(self, model: LanguageModel, penalty: float = PENALTY, held: int = 200_000) -> None:
-        self.model, self.penalty, self.most = model, penalty, held
+    def __init__(
+        self, model: LanguageModel, penalty: float = PENALTY, held: int = 200_000, floors: Floors | None = None
+    ) -> None:
+        self.model, self.penalty, self.most, self.floors = model, penalty, held, floors
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
+        # Sums, numbers of n-grams and whether any language is a candidate, for the floors.
+        self.fit = (np.zeros((0, len(model.languages))), np.zeros(0, np.int64), np.zeros(0, bool))
 
     def _ids(self, words: list[str]) -> np.ndarray:
         new = [w for w in set(words) if w not in self.index]
         if len(self.index) + len(new) > self.most:
             self.index, new = {}, list(set(words))
-            self.table = self.table[:0]
+            self.table, self.fit = self.table[:0], tuple(f[:0] for f in self.fit)
         if new:
             new.sort()
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            parts = [self.model.word_scores(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
-            self.table = np.concatenate([self.table, *parts])
+            parts = [self.model.word_sums(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
+            self.table = np.concatenate([self.table, *[self.model.word_scores(*p) for p in parts]])
+            if self.floors is not None:
+                own = [(sums, n, self.model.allowed[script].any(axis=1)) for sums, n, script in parts]
+                self.fit = tuple(np.concatenate(f) for f in zip(self.fit, *own))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
@@ -183,6 +242,31 @@ class Labeller:
             out.append((self.model.languages[top], float(total[top] / total.sum()), self._spans(text, own)))
         return out
 
+    def known(self, texts: list[str | None], least: float) -> list[bool]:
+        """Whether a text has at least ``least`` of its letters in one language and is no worse than that one's floor.
+
+        Letters of scripts that no language is known for count as those of no language.
+        """
+        found = [_WORD.findall(t) if t else [] for t in texts]
+        lengths = np.array([len(w) for w in found], np.int64)
+        words = [w for own in found for w in own]
+        if not words or not self.model.languages:
+            return [False] * len(texts)
+        ids = self._ids(words)
+        sums, n, candidate = (f[ids] for f in self.fit)
+        labels = viterbi(self.table[ids], lengths, self.penalty)
+        own = sums[np.arange(len(words)), labels]
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        out = []
+        for lo, hi in zip((ends - lengths).tolist(), ends.tolist()):
+            seen = lo + np.flatnonzero(candidate[lo:hi])
+            total = np.bincount(labels[seen], letters[seen], len(self.model.languages))
+            top = int(total.argmax())
+            good = len(seen) > 0 and total[top] >= least * letters[lo:hi].sum()
+            out.append(bool(good and own[seen].sum() >= self.floors.of(top, len(seen)) * n[seen].sum()))
+        return out
+
     def table_rows(self, words: list[str]) -> np.ndarray:
         ids = self._ids(words)
         return self.table[ids]
@@ -239,15 +323,20 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
     )
 
 
-def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text is in a known language by at least ``least`` of its letters."""
+def accepted(
+    docs: DataFrame, model: LanguageModel, floors: Floors, least: float = 0.5, penalty: float = PENALTY
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in a known language by at least ``least`` of its letters.
+
+    A text in another language is known by letters of other scripts, or by n-grams below the floor of its best language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model, penalty)
+        labeller = Labeller(model, penalty, floors=floors)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts, 1 << 20):
-                keep = [lang != "und" and score >= least for lang, score, _ in labeller(texts[lo:hi])]
+                keep = labeller.known(texts[lo:hi], least)
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
