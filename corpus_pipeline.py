@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, pii
 from tidemark.llm.minhash import near_duplicates
-from tidemark.llm.mixing import mixture
+from tidemark.llm.mixing import mixture, whole_rows
 from tidemark.llm.packing import pack
 from tidemark.llm.shared import stage
 
@@ -39,12 +39,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last draw of a source is cut to the words that are still needed."""
-    mixed = mixture(docs.select(*COLUMNS), keep=COLUMNS)
-    drawn = mixed.select(*COLUMNS, "size", F.explode("draws.words").alias("words"))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " "))
-    drawn = drawn.withColumn("text", F.coalesce(text, "text"))
+    """Documents as often as the mix takes them, whole; words of a source equal its target rounded.
+
+    Only where no choice of whole documents gives a source's words, one is cut to the words that are still needed.
+    """
+    mixed = whole_rows(mixture(docs.select(*COLUMNS), keep=COLUMNS))
+    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
+    part = F.when(F.col("cut") > 0, F.array(F.col("cut"))).otherwise(F.array().cast("array<bigint>"))
+    drawn = mixed.select(
+        *COLUMNS, F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), part)).alias("cut")
+    )
+    drawn = drawn.withColumn("text", F.when(F.col("cut") > 0, cut).otherwise(F.col("text")))
     return drawn.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

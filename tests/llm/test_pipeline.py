@@ -59,3 +59,20 @@ def test_empty_and_odd_documents(spark, odd_documents, no_documents):
         for name, function in corpus_pipeline.STAGES:
             docs = stage(function(spark, docs, DATA), name)
         assert docs.columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_mixing_stage_takes_whole_documents(spark):
+    texts = [(i, "\n".join(f"w{i} x" for _ in range(1 + i * 37 % 101)) + " end" * (i // 2 % 2), "en", "ab"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame([(*t, len(t[1])) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.source_mixing(spark, docs, DATA).collect()
+    whole = {t[0]: t[1] for t in texts}
+    assert all(r.text == whole[r.doc_id] and r.n_chars == len(r.text) for r in rows)
+    sizes = [sum(len(t[1].split()) for t in texts if t[3] == s) for s in "ab"]
+    taken = [sum(len(r.text.split()) for r in rows if r.source == s) for s in "ab"]
+    assert all(abs(t - w) <= 0.51 for t, w in zip(taken, reference_targets(sizes, [5, 2])))
+    assert max(Counter(r.doc_id for r in rows).values()) <= 2
+
+
+def test_mixing_stage_keeps_line_breaks_of_a_cut(spark):
+    docs = spark.createDataFrame([(1, "a\nb  c\n d e\tf", "en", "a", 14)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in corpus_pipeline.source_mixing(spark, docs, DATA).collect()) == ["a\nb  c", "a\nb  c\n d e\tf"]

@@ -133,6 +133,70 @@ def mixture(
     )
 
 
+def exact_choice(rows: Sequence[tuple[int, int]]) -> list[bool] | None:
+    """Which of the first 1, 2, 4, .. rows of (size, words taken) to take whole so that their words stay the same.
+
+    NULL if not even all rows have such a choice.
+    """
+    k = 1
+    while rows:
+        need = sum(taken for _, taken in rows[:k])
+        reach = [1]
+        for size, _ in rows[:k]:
+            reach.append((reach[-1] | reach[-1] << size) & ((2 << need) - 1))
+        if reach[-1] >> need & 1:
+            out = []
+            for i in range(min(k, len(rows)), 0, -1):
+                out.append(not reach[i - 1] >> need & 1)
+                need -= rows[i - 1][0] if out[-1] else 0
+            return out[::-1]
+        if k >= len(rows):
+            return None
+        k *= 2
+    return None
+
+
+def whole_rows(mixed: DataFrame, most: int = 64, seed: int = SEED) -> DataFrame:
+    """``mixed`` with copies (how often a row is taken whole) and cut (words of a draw that is not, 0 if none).
+
+    A source's words stay what they are. Instead of cutting the border row, some rows next to it (the border row and
+    others by hash, at most ``most`` a source, on the driver) are taken or left whole so that their words sum to the same.
+    Only a source where no such choice exists, one of few rows, keeps the cut.
+    """
+    whole = F.least(F.lit(int(MOST)), F.floor(F.bround("target") / F.col("source_size"))).cast("long")
+    rows = mixed.withColumn("mix_whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("mix_own", F.col("taken") - F.col("mix_whole") * F.col("size"))
+    tag = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    name = F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("NULL")), "size", "mix_own", tag)
+    border = (F.col("mix_own") > 0) & (F.col("mix_own") < F.col("size"))
+    near = (
+        rows.where("size > 0")
+        .groupBy(tag.alias("tag"), "doc_id", "size", "mix_own", border.alias("border"), name.alias("name"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("at", F.expr(f"row_number() over (partition by tag order by border desc, xxhash64({seed + 4}, doc_id), name)"))
+        .where(F.col("at") <= most)
+    )
+    by_source: dict[str, list] = {}
+    for r in near.select("tag", "name", "size", "mix_own", "n", "border", "at").collect():
+        by_source.setdefault(r["tag"], []).append(r)
+    add, leave = [], []
+    for own in by_source.values():
+        own.sort(key=lambda r: r["at"])
+        choice = exact_choice([(r["n"] * r["size"], r["n"] * r["mix_own"]) for r in own]) if own[0]["border"] else None
+        for r, take in zip(own, choice or []):
+            if take != (r["mix_own"] == r["size"]) or r["border"]:
+                (add if take else leave).append(r["name"])
+    changed = F.when(name.isin(add), F.col("size")).when(name.isin(leave), F.lit(0).cast("long")).otherwise(F.col("mix_own"))
+    rows = rows.withColumn("mix_own", changed)
+    full = (F.col("mix_own") == F.col("size")) & (F.col("size") > 0)
+    return rows.withColumns(
+        {
+            "copies": F.when(F.col("size") > 0, F.col("mix_whole") + full.cast("long")).otherwise(0),
+            "cut": F.when(full, 0).otherwise(F.col("mix_own")),
+        }
+    ).drop("mix_own", "mix_whole")
+
+
 def shuffled(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """One row for each draw, with shard, words and its position in the shard's own random order."""
     rows = mixed.withColumn("draw", F.explode("draws"))
