@@ -12,7 +12,7 @@ from tidemark.operators.features import window_features
 from tidemark.operators.sequence import with_index
 from tidemark.operators.signals import normalized_windows
 from tidemark.operators.windows import sliding_windows
-from tidemark.plans import tables
+from tidemark.plans import registry, signals, tables
 
 
 def plan(df):
@@ -84,3 +84,14 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 80
+
+
+def test_registered_queries_carry_everything(spark, tmp_path):
+    """All base features, four calibration windows, counts with the rows, and every point of a longer vector."""
+    names = ["streamed_calibrated_features", "streamed_collection_rows", "streamed_collection_counts", "engineered_with_target_all"]
+    queries = registry.all_queries()
+    assert set(names) <= set(queries) and set(names) <= set(registry.all_oracles())
+    rows = [(1, 0, [float(i) for i in range(70)]), (2, 0, [float(i) for i in range(64)])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.frame_idx: r.points for r in signals._landmarks(spark, str(tmp_path)).collect()}
+    assert len(got[1]) == 23 and len(got[2]) == 21 and got[1][-1].z == 68.0

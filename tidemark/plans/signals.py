@@ -148,7 +148,7 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- geometry ------------------------------------------------------------------------------------
 
-# Small positions: the embeddings give 21 points each.
+# Small positions: embeddings of 64 entries give 21 points each; the last entry is no whole point.
 POINTS_21 = LandmarkIndices(
     left_eye=(0, 1, 2, 3, 4, 5),
     right_eye=(6, 7, 8, 9, 10, 11),
@@ -171,7 +171,7 @@ def _landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.get("embedding", n).cast("double")
 
     points = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.filter(F.sequence(F.lit(0), F.floor(F.size("embedding") / F.lit(3)).cast("int")), lambda i: i * 3 + 2 < F.size("embedding")),
         lambda i: F.struct(at(i * 3).alias("x"), at(i * 3 + 1).alias("y"), at(i * 3 + 2).alias("z")),
     )
     return load(spark, sf_dir, "embeddings").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import BASE_FEATURES, EngineeredFeatures
@@ -65,6 +65,13 @@ def streamed_engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("session_id", "emitted_at", *EngineeredFeatures(PICKED).all))
 
 
+def streamed_calibrated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all base features and the operator's own number of calibration windows."""
+    windows = _streamed_windows(spark, sf_dir).select("session_id", "emitted_at", *BASE_FEATURES)
+    out = run_available(calibrated_features(_as_stream(windows, "cut"), BASE_FEATURES), "engineered")
+    return rounded(out.select("session_id", "emitted_at", *EngineeredFeatures().all))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as load scores, one every 2.5 seconds and a bit."""
     df = events(spark, sf_dir)
@@ -97,8 +104,8 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def streamed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collection requests (one per event) arriving as files, flattened into training rows."""
+def _requests(spark: SparkSession, sf_dir: str, features: Column) -> DataFrame:
+    """Collection requests, one per event."""
     ev = events(spark, sf_dir)
     sample = F.struct(
         F.col("ts_us").alias("timestamp"),
@@ -106,16 +113,35 @@ def streamed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") > 60, "high").otherwise("low").alias("label"),
         F.when(F.col("k") < 30, "easy").when(F.col("k") < 60, "medium").otherwise("hard").alias("difficulty"),
         F.col("event_type").alias("task_type"),
-        F.create_map(F.lit("perclos"), F.col("value")).alias("features"),
+        features.alias("features"),
         F.lit(1.0).alias("valid_frame_ratio"),
     )
-    requests = ev.select(
+    return ev.select(
         F.col("user_id").cast("string").alias("participant_id"), F.lit(None).cast("string").alias("session_notes"), F.array(sample).alias("samples")
     )
+
+
+def streamed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection requests arriving as files, flattened into training rows."""
+    requests = _requests(spark, sf_dir, F.create_map(F.lit("perclos"), F.col("value")))
     rows, _ = ingest_collected(_as_stream(requests, "requests"))
     return rows.select("user_id", "timestamp", "window_index", "label", "difficulty", "task_type", "blink_rate", "perclos", "role")
 
 
+def _full_collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows and counts of requests whose samples carry every base feature."""
+    features = F.create_map(*[c for i, f in enumerate(BASE_FEATURES) for c in (F.lit(f), F.col("value") * F.lit(float(i + 1)))])
+    return ingest_collected(_as_stream(_requests(spark, sf_dir, features), "requests"))
+
+
+def streamed_collection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_full_collection(spark, sf_dir)[0])
+
+
+def streamed_collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full_collection(spark, sf_dir)[1]
+
+
 def _camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times squeezed to camera times; some pictures repeat."""
     df = events(spark, sf_dir)
@@ -141,9 +167,12 @@ QUERIES = {
     "streamed_window_features": streamed_window_features,
     "streamed_previews": streamed_previews,
     "streamed_engineered_features": streamed_engineered_features,
+    "streamed_calibrated_features": streamed_calibrated_features,
     "controller_actions": controller_actions,
     "streamed_scores": streamed_scores,
     "streamed_collection": streamed_collection,
+    "streamed_collection_rows": streamed_collection_rows,
+    "streamed_collection_counts": streamed_collection_counts,
     "throttled_frames": throttled_frames,
     "streamed_throttle": streamed_throttle,
 }
@@ -255,3 +284,26 @@ ORACLES = {
     "throttled_frames": f"WITH RECURSIVE {_CAMERA_SQL}",
     "streamed_throttle": f"WITH RECURSIVE {_CAMERA_SQL}",
 }
+
+_ALL_BASE = ", ".join(f"median({p}) AS b_{p}" for p in BASE_FEATURES)
+_ALL_CENTERED = ", ".join(f"{p} - b_{p} AS {p}_centered" for p in BASE_FEATURES)
+_ALL_DELTA = ", ".join(
+    f"coalesce({p}_centered - lag({p}_centered) OVER (PARTITION BY user_id, task ORDER BY t_start_s), 0) AS {p}_delta" for p in BASE_FEATURES
+)
+_DIFFICULTY = "CASE WHEN k < 30 THEN 'easy' WHEN k < 60 THEN 'medium' ELSE 'hard' END"
+_VALUES = ", ".join(f"round(value * {i + 1}, 6) AS {f}" for i, f in enumerate(BASE_FEATURES))
+
+ORACLES |= {
+    "streamed_calibrated_features": f"""WITH {_LIVE_SQL},
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, task ORDER BY t_start_s) AS rn FROM wide),
+        b AS (SELECT user_id, task, {_ALL_BASE} FROM r WHERE rn <= 4 GROUP BY ALL),
+        c AS (SELECT r.*, {_ALL_CENTERED} FROM r JOIN b USING (user_id, task) WHERE rn > 4),
+        d AS (SELECT *, {_ALL_DELTA} FROM c)
+        SELECT user_id || '/' || task AS session_id, t_end_s - 1 AS emitted_at, {_round(EngineeredFeatures().all)} FROM d""",
+    "streamed_collection_rows": f"""WITH {EVENTS_SQL} SELECT CAST(user_id AS VARCHAR) AS user_id, ts_us AS timestamp, k AS window_index,
+        CASE WHEN value > 60 THEN 1 ELSE 0 END AS label, {_DIFFICULTY} AS difficulty, event_type AS task_type, {_VALUES}, 'train' AS role FROM ev""",
+    "streamed_collection_counts": f"""WITH {EVENTS_SQL}, s AS (SELECT *, {_DIFFICULTY} AS d FROM ev)
+        SELECT CAST(user_id AS VARCHAR) AS participant_id, count(*) AS total_samples, count(*) FILTER (NOT coalesce(value > 60, false)) AS low,
+        count(*) FILTER (value > 60) AS high, count(*) FILTER (d = 'easy') AS easy, count(*) FILTER (d = 'medium') AS medium,
+        count(*) FILTER (d = 'hard') AS hard FROM s GROUP BY user_id""",
+}

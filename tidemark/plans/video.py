@@ -104,6 +104,14 @@ def engineered_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def engineered_with_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every engineered feature."""
+    wide = _stored_windows(spark, sf_dir)
+    out = baseline.add_centered_and_delta(wide, baseline.user_baseline(wide))
+    out = baseline.add_target(out, "z01", "mean_brightness")
+    return rounded(out.select(*KEYS, "t_start_s", *EngineeredFeatures().all, "y_true"))
+
+
 def target_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _stored_windows(spark, sf_dir).select(*KEYS, "t_start_s", "perclos")
     return rounded(baseline.add_target(wide, "delta", "perclos"))
@@ -275,6 +283,7 @@ QUERIES = {
     "live_baselines": live_baselines,
     "engineered_features": engineered_features,
     "engineered_with_target": engineered_with_target,
+    "engineered_with_target_all": engineered_with_target_all,
     "target_delta": target_delta,
     "feature_sink_rows": feature_sink_rows,
     "task_selection": task_selection,
@@ -397,3 +406,9 @@ ORACLES = {
         SELECT hour, n, CAST(round(n / ((last_us - hour * 3.6e9) / 1e6) * 60) AS BIGINT) AS per_minute FROM h""",
     "manifest_head": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 25",
 }
+
+ORACLES["engineered_with_target_all"] = f"""WITH {WIDE_SQL}{_engineered_sql(BASE_FEATURES)},
+        m AS (SELECT user_id, avg(mean_brightness) AS mu, stddev_pop(mean_brightness) AS sigma FROM wide GROUP BY ALL)
+        SELECT user_id, task, t_start_s, {_round(EngineeredFeatures().all)},
+               round(1 / (1 + exp(-CASE WHEN sigma >= 1e-6 THEN (mean_brightness - mu) / sigma ELSE 0 END)), 6) AS y_true
+        FROM engineered JOIN m USING (user_id)"""
