@@ -13,6 +13,7 @@ from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mixture
 from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_spans
+from tidemark.llm.vector_packing import pack_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_vectors(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +88,7 @@ QUERIES = {
         op8_source_mixing,
         op9_media_columns,
         op10_secret_scan,
+        op11_vector_packing,
     )
 }
 ORACLES: dict[str, str] = {}
