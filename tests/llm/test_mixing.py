@@ -51,3 +51,20 @@ def test_odd_rows(odd_documents, no_documents):
     assert all(r.taken <= 2 * r.size for r in got)
     assert mixing.mixture(no_documents).collect() == []
     assert mixing.mixture(no_documents.union(odd_documents.where("doc_id = 4"))).first().taken == 0
+
+
+def test_places_are_the_shards_order(odd_documents, documents):
+    mixed = mixing.mixture(documents, keep=("doc_id", "source"), shard_words=6000)
+    rows = mixing.with_places(mixed).collect()
+    assert len(rows) == documents.count() and all(sum(p.words for p in r.places) == r.taken for r in rows)
+    places = sorted((p.shard, p.position) for r in rows for p in r.places)
+    shards = sorted({s for s, _ in places})
+    assert places == [(s, i + 1) for s in shards for i in range(sum(x == s for x, _ in places))]
+    assert len(mixing.with_places(mixing.mixture(odd_documents)).collect()) == 12
+
+
+def test_whole_rows_round_to_the_nearer_document(documents):
+    rows = mixing.whole_rows(mixing.mixture(documents, keep=("doc_id", "source"), shard_words=6000)).toPandas()
+    assert (rows["taken"] == rows["size"] * rows["draws"].map(len)).all()
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert (abs(by["taken"] - by["target"]) <= 0.5 * by["most"] + 1).all()

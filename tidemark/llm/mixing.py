@@ -57,7 +57,7 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 def mixture(
     docs: DataFrame, keep: Sequence[str] = ("doc_id",), seed: int = SEED, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """``keep`` columns of every row with size, source_size, target, taken and draws.
+    """``keep`` columns of every row with size, source_size, target, taken, draws and mix_row, a key of the row.
 
     ``draws`` has the shard and the words of each time a row is taken. Words are runs of characters other than ASCII
     white space; a NULL text has none. Sources are ordered by code point, NULL last and a source of its own; the weights
@@ -113,12 +113,12 @@ def mixture(
         ),
         "draws",
     )
-    before = F.expr(
-        f"sum(size) over (partition by mix_source, mix_block order by xxhash64({seed + 2}, mix_id), mix_id, size "
-        "rows unbounded preceding) - size"
-    )
+    order = f"over (partition by mix_source, mix_block order by xxhash64({seed + 2}, mix_id), mix_id, size"
+    before = F.expr(f"sum(size) {order} rows unbounded preceding) - size")
+    key = F.struct("mix_source", "mix_block", F.expr(f"row_number() {order})").alias("turn"))
     own = F.least("size", F.greatest(F.lit(0), F.col("partial") - F.col("mix_before")))
-    taken = rows.withColumn("mix_before", before).join(blocks, ["mix_source", "mix_block"]).withColumn("mix_own", own)
+    ordered = rows.withColumns({"mix_before": before, "mix_row": key})
+    taken = ordered.join(blocks, ["mix_source", "mix_block"]).withColumn("mix_own", own)
     drawn_rows = F.concat(
         F.transform("shards", lambda s: F.struct(s.alias("shard"), F.col("size").alias("words"))),
         F.array(F.struct(F.col("last_shard").alias("shard"), F.col("mix_own").alias("words"))),
@@ -130,76 +130,36 @@ def mixture(
         "target",
         (F.col("whole") * F.col("size") + F.col("mix_own")).alias("taken"),
         F.filter(drawn_rows, lambda d: d["words"] > 0).alias("draws"),
+        "mix_row",
     )
 
 
-def exact_choice(rows: Sequence[tuple[int, int]]) -> list[bool] | None:
-    """Which of the first 1, 2, 4, .. rows of (size, words taken) to take whole so that their words stay the same.
+def whole_rows(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with draws of whole rows only: one that a draw cuts is taken whole if at least half of it is drawn.
 
-    NULL if not even all rows have such a choice.
-    """
-    k = 1
-    while rows:
-        need = sum(taken for _, taken in rows[:k])
-        reach = [1]
-        for size, _ in rows[:k]:
-            reach.append((reach[-1] | reach[-1] << size) & ((2 << need) - 1))
-        if reach[-1] >> need & 1:
-            out = []
-            for i in range(min(k, len(rows)), 0, -1):
-                out.append(not reach[i - 1] >> need & 1)
-                need -= rows[i - 1][0] if out[-1] else 0
-            return out[::-1]
-        if k >= len(rows):
-            return None
-        k *= 2
-    return None
-
-
-def whole_rows(mixed: DataFrame, most: int = 64, seed: int = SEED) -> DataFrame:
-    """``mixed`` with copies (how often a row is taken whole) and cut (words of a draw that is not, 0 if none).
-
-    A source's words stay what they are. Instead of cutting the border row, some rows next to it (the border row and
-    others by hash, at most ``most`` a source, on the driver) are taken or left whole so that their words sum to the same.
-    Only a source where no such choice exists, one of few rows, keeps the cut.
+    A source cuts one row at most, so its words then differ from its target by at most half of that row.
     """
-    whole = F.least(F.lit(int(MOST)), F.floor(F.bround("target") / F.col("source_size"))).cast("long")
-    rows = mixed.withColumn("mix_whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0).cast("long")))
-    rows = rows.withColumn("mix_own", F.col("taken") - F.col("mix_whole") * F.col("size"))
-    tag = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    name = F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("NULL")), "size", "mix_own", tag)
-    border = (F.col("mix_own") > 0) & (F.col("mix_own") < F.col("size"))
-    near = (
-        rows.where("size > 0")
-        .groupBy(tag.alias("tag"), "doc_id", "size", "mix_own", border.alias("border"), name.alias("name"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("at", F.expr(f"row_number() over (partition by tag order by border desc, xxhash64({seed + 4}, doc_id), name)"))
-        .where(F.col("at") <= most)
-    )
-    by_source: dict[str, list] = {}
-    for r in near.select("tag", "name", "size", "mix_own", "n", "border", "at").collect():
-        by_source.setdefault(r["tag"], []).append(r)
-    add, leave = [], []
-    for own in by_source.values():
-        own.sort(key=lambda r: r["at"])
-        choice = exact_choice([(r["n"] * r["size"], r["n"] * r["mix_own"]) for r in own]) if own[0]["border"] else None
-        for r, take in zip(own, choice or []):
-            if take != (r["mix_own"] == r["size"]) or r["border"]:
-                (add if take else leave).append(r["name"])
-    changed = F.when(name.isin(add), F.col("size")).when(name.isin(leave), F.lit(0).cast("long")).otherwise(F.col("mix_own"))
-    rows = rows.withColumn("mix_own", changed)
-    full = (F.col("mix_own") == F.col("size")) & (F.col("size") > 0)
-    return rows.withColumns(
-        {
-            "copies": F.when(F.col("size") > 0, F.col("mix_whole") + full.cast("long")).otherwise(0),
-            "cut": F.when(full, 0).otherwise(F.col("mix_own")),
-        }
-    ).drop("mix_own", "mix_whole")
+    near = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
+    whole = F.transform(near, lambda d: F.struct(d["shard"].alias("shard"), F.col("size").alias("words")))
+    return mixed.withColumn("draws", whole).withColumn("taken", F.size("draws") * F.col("size"))
 
 
 def shuffled(mixed: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row for each draw, with shard, words and its position in the shard's own random order."""
+    """One row for each draw, with shard, words and its position in the shard's own random order.
+
+    The rows of a shard stand together, in that order. Equal draws of one row stand in either order.
+    """
     rows = mixed.withColumn("draw", F.explode("draws"))
     rows = rows.select(*[c for c in mixed.columns if c != "draws"], "draw.shard", "draw.words")
-    order = F.expr(f"row_number() over (partition by shard order by xxhash64({seed + 3}, doc_id, words), doc_id)")
-    return rows.withColumn("position", order)
+    order = f"row_number() over (partition by shard order by xxhash64({seed + 3}, mix_row, words), mix_row, words)"
+    return rows.withColumn("position", F.expr(order))
+
+
+def with_places(mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """``mixed`` with ``places``, shard, position and words of each draw of a row, instead of draws and mix_row."""
+    mixed = stage(mixed, "mixed")
+    found = shuffled(mixed.select("mix_row", "draws"), seed).groupBy("mix_row")
+    found = found.agg(F.sort_array(F.collect_list(F.struct("shard", "position", "words"))).alias("places"))
+    none = F.array().cast(found.schema["places"].dataType)
+    rows = mixed.join(found, "mix_row", "left").withColumn("places", F.coalesce("places", none))
+    return rows.drop("mix_row", "draws")

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import extraction, langid, pii
+from tidemark.llm.ball_search import ranked_search
 from tidemark.llm.chat import START, digests, format_conversations
 from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.media import media_columns
 from tidemark.llm.minhash import near_duplicates
-from tidemark.llm.mixing import mixture
+from tidemark.llm.mixing import mixture, with_places
 from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_spans
+from tidemark.llm.token_alignment import aligned_tokens
 from tidemark.llm.vector_packing import pack_vectors
 
 
@@ -60,7 +62,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"))
+    return with_places(mixture(table(spark, sf_dir, "documents")))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,14 @@ def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_vectors(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +99,8 @@ QUERIES = {
         op9_media_columns,
         op10_secret_scan,
         op11_vector_packing,
+        op12_token_alignment,
+        op13_ranked_search,
     )
 }
 ORACLES: dict[str, str] = {}
