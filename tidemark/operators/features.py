@@ -118,7 +118,7 @@ def _frame_aggregates(config: FeatureConfig, idx: str) -> list[Column]:
     return aggs
 
 
-def _finish(config: FeatureConfig) -> dict[str, Column]:
+def finished_features(config: FeatureConfig) -> dict[str, Column]:
     """Final feature values: NULL throughout for a window without valid frames, else 0 for 'none'."""
     some = F.col("_valid") > 0
 
@@ -183,7 +183,7 @@ def window_features(
     if gate:
         windows = windows.where(passes)
     t_start, t_end = window_bounds(length, step, config.fps)
-    values = _finish(config)
+    values = finished_features(config)
     ordered = [*config.model_features, *config.monitoring_features]
     return windows.select(
         *keys, WINDOW, t_start, t_end, bad.alias("bad_ratio"), *[values[n].alias(n) for n in ordered]
@@ -200,7 +200,7 @@ def features_of_cut_windows(
     marked = mark_frames(rows, list(keys), place, config).withColumn(WINDOW, F.lit(0))
     windows = marked.groupBy(*keys).agg(*_frame_aggregates(config, place), F.max(WINDOW).alias(WINDOW))
     _, bad = quality_gate(F.col("_valid"), F.col("_n"), config.max_bad_ratio)
-    values = _finish(config)
+    values = finished_features(config)
     ordered = [*config.model_features, *config.monitoring_features]
     return windows.select(*keys, bad.alias("bad_ratio"), *[values[n].alias(n) for n in ordered])
 

@@ -230,6 +230,10 @@ class ScoreProcessor(StatefulProcessor):
         self.state.update((json.dumps({"smoothed": smoothed, "controller": asdict(controller)}),))
         yield pd.DataFrame(out)
 
+    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from tidemark.config import BASE_FEATURES, EngineeredFeatures, FeatureConfig
-from tidemark.operators.features import features_of_cut_windows
+from tidemark.functions.numeric import finite
+from tidemark.operators.features import features_of_cut_windows, finished_features
+from tidemark.operators.windows import quality_gate
 from tidemark.schemas import require_columns
 
 FRAME_VALUES = [
@@ -78,10 +80,127 @@ class WindowBufferProcessor(StatefulProcessor):
         out.insert(5, "place", np.arange(len(out)))
         return out
 
+    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        self.frames.clear()
+        self.clock.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
+WINDOW_ROWS = "session_id string, kind string, emitted_at double, t_start_s double, t_end_s double, "
+WINDOW_ROWS += ", ".join(f"{c} array<double>" for c in FRAME_VALUES) + ", valid array<boolean>"
+
+
+class WindowRowProcessor(WindowBufferProcessor):
+    """The same windows as one row each, the frames' values as arrays in the order of time.
+
+    The end of a session gives a row of kind ``ended`` without frames, for the operators behind to clear their state.
+    """
+
+    def _cut(self, session: str, kind: str, now: float, seen: int, buffer: deque, columns: list[str]) -> pd.DataFrame:
+        end = seen / self.config.fps
+        row = {"session_id": session, "kind": kind, "emitted_at": now, "t_start_s": max(0.0, end - self.config.length_s), "t_end_s": end}
+        values = zip(*buffer)
+        for name, own in zip(columns, values):
+            if name != "at":
+                row[name] = [None if pd.isna(v) else v for v in own]
+        return pd.DataFrame([row])
+
+    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        super().ended(key, at, late)
+        if at is not None:
+            names = [f.split()[0] for f in WINDOW_ROWS.split(", ")]
+            yield pd.DataFrame([{**dict.fromkeys(names), "session_id": key[0], "kind": "ended", "emitted_at": at}])
+
+
+def _moments(values: Column) -> Column:
+    """Number, mean and sum of squared deviations of an array's values, NULLs left out."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1.0)
+        return F.struct((s["n"] + 1.0).alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
+
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), zero, add)
+
+
+def _blink_runs(good: Column, config: FeatureConfig) -> Column:
+    """Runs of closed eyes that end among the valid frames, and their frames together."""
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("rank"), F.lit(False).alias("closed"), F.lit(0).cast("bigint").alias("since"),
+        F.lit(0).cast("bigint").alias("runs"), F.lit(0).cast("bigint").alias("frames"),
+    )
+
+    def step(s: Column, f: Column) -> Column:
+        closed, rank = finite(f["ear_mean"]) < config.ear_threshold, s["rank"] + 1
+        run = rank - s["since"]
+        kept = F.coalesce(~closed & s["closed"] & run.between(config.min_blink_frames, config.max_blink_frames), F.lit(False))
+        return F.struct(
+            rank.alias("rank"),
+            F.coalesce(closed, s["closed"]).alias("closed"),
+            F.when(closed & ~s["closed"], rank).otherwise(s["since"]).alias("since"),
+            F.when(kept, s["runs"] + 1).otherwise(s["runs"]).alias("runs"),
+            F.when(kept, s["frames"] + run).otherwise(s["frames"]).alias("frames"),
+        )
+
+    return F.aggregate(good, zero, step)
+
+
+def window_row_features(windows: DataFrame, config: FeatureConfig, keys: Sequence[str]) -> DataFrame:
+    """Features of windows that are one row each, by expressions over their arrays: no shuffle, on tables and streams."""
+
+    def is_valid(f: Column) -> Column:
+        return F.coalesce(f["valid"], F.lit(False))
+
+    def of(value) -> Column:
+        return _moments(F.transform("_good", value))
+
+    def field(name: str) -> Callable[[Column], Column]:
+        return lambda f: finite(f[name])
+
+    def move(a: Column, b: Column) -> Column:
+        way = F.sqrt(F.pow(b["eye_center_x"] - a["eye_center_x"], 2) + F.pow(b["eye_center_y"] - a["eye_center_y"], 2))
+        return F.when(is_valid(a) & is_valid(b), finite(way * F.lit(config.fps)))
+
+    def mean(name: str) -> Column:
+        return F.when(F.col(f"{name}.n") > 0, F.col(f"{name}.mean"))
+
+    def spread(name: str) -> Column:
+        return F.when(F.col(f"{name}.n") > 0, F.sqrt(F.col(f"{name}.m2") / F.col(f"{name}.n")))
+
+    rows = windows.withColumn("_frames", F.arrays_zip(*FRAME_VALUES, "valid")).withColumn("_good", F.filter("_frames", is_valid))
+    last = F.greatest(F.size("_frames") - 1, F.lit(0))
+    rows = rows.select(
+        *keys,
+        F.size("_frames").alias("_n"),
+        F.size("_good").alias("_valid"),
+        _blink_runs(F.col("_good"), config).alias("_blinks"),
+        F.size(F.filter("_good", lambda f: F.coalesce(finite(f["ear_mean"]) < config.ear_threshold, F.lit(False)))).alias("_closed_frames"),
+        of(lambda f: F.when(finite(f["ear_mean"]) > 0, f["ear_mean"])).alias("_ear"),
+        of(lambda f: f["brightness"]).alias("_brightness"),
+        of(lambda f: f["quality"]).alias("_quality"),
+        of(field("mouth_mar")).alias("_mouth"),
+        *[of(field(c)).alias(f"_{c}") for c in ("roll", "pitch", "yaw")],
+        _moments(F.zip_with(F.slice("_frames", F.lit(1), last), F.slice("_frames", F.lit(2), last), move)).alias("_motion"),
+    )
+    none = F.lit(None).cast("bigint")
+    rows = rows.withColumns(
+        {
+            "_runs": F.col("_blinks.runs"), "_run_frames": F.col("_blinks.frames"), "_cut_end": none, "_first_closed": none,
+            "ear_std": spread("_ear"), "mean_brightness": mean("_brightness"), "std_brightness": spread("_brightness"),
+            "mean_quality": mean("_quality"), "mouth_open_mean": mean("_mouth"), "mouth_open_std": spread("_mouth"),
+            **{f"{c}_std": spread(f"_{c}") for c in ("roll", "pitch", "yaw")},
+            "motion_mean": mean("_motion"), "motion_std": spread("_motion"),
+        }
+    )
+    _, bad = quality_gate(F.col("_valid"), F.col("_n"), config.max_bad_ratio)
+    values = finished_features(config)
+    ordered = [*config.model_features, *config.monitoring_features]
+    return rows.select(*keys, bad.alias("bad_ratio"), *[values[n].alias(n) for n in ordered])
+
+
 def cut_windows(frames: DataFrame, config: FeatureConfig = FeatureConfig(), preview_s: float | None = None) -> DataFrame:
     """Frames of every due window (and preview) of a stream of frames keyed by ``session_id``."""
     columns = ["session_id", "at", *FRAME_VALUES, "valid"]
@@ -156,6 +275,11 @@ class CalibrationProcessor(StatefulProcessor):
             [head, pd.DataFrame(np.hstack([safe, centered, delta]), columns=spec.all)], axis=1
         )
 
+    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        for state in (self.first, self.baseline, self.previous):
+            state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -198,6 +322,10 @@ class ThrottleProcessor(StatefulProcessor):
         if keep:
             yield frames.loc[keep, self.fields]
 
+    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
