@@ -79,6 +79,29 @@ def test_odd_rows(odd_documents, no_documents):
     assert minhash.near_duplicates(no_documents).collect() == []
 
 
+def test_an_id_with_two_texts_links_by_both(spark):
+    rng = np.random.default_rng(8)
+    a, b = (" ".join(rng.choice([f"w{i}" for i in range(900)], 100)) for _ in range(2))
+    for order in (1, -1):
+        rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a), (1, "")][::order]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_many_copies_in_parts_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LED", 5)
+    monkeypatch.setattr(minhash, "SLICE_ROWS", 7)
+    monkeypatch.setattr(minhash, "CHAINS", 0)
+    rng = np.random.default_rng(9)
+    text = list(rng.choice([f"w{i}" for i in range(400)], 120))
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.integers(99)}" for w in text)) for i in range(150)]
+    rows += [(150 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_force(rows)
+
+
 def test_words_across_pieces(monkeypatch):
     data = b"aa bb\tcc\x0bdd ee ff " * 50
     whole = shingles.word_hashes(data)

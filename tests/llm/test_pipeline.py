@@ -44,7 +44,9 @@ def test_stages(steps):
     for doc, new, _, source, n in mixed:
         taken[source] += len(new.split())
         assert n == len(new)
-    assert all(abs(taken[s] - t) <= 1 for s, t in zip(names, want)) and max(Counter(r[0] for r in mixed).values()) <= 3
+    most = {s: max(n for d, n in size.items() if of[d] == s) for s in names}
+    assert all(abs(taken[s] - t) <= 0.5 * most[s] + 1 for s, t in zip(names, want)) and max(Counter(r[0] for r in mixed).values()) <= 3
+    assert {r[:3] for r in mixed} <= {r[:3] for r in clean}
     assert sum(r[3] for r in packed if r[2] == 0) > 0 and {r[0] for r in packed} == {r[0] for r in mixed}
 
 
@@ -69,10 +71,20 @@ def test_mixing_stage_takes_whole_documents(spark):
     assert all(r.text == whole[r.doc_id] and r.n_chars == len(r.text) for r in rows)
     sizes = [sum(len(t[1].split()) for t in texts if t[3] == s) for s in "ab"]
     taken = [sum(len(r.text.split()) for r in rows if r.source == s) for s in "ab"]
-    assert all(abs(t - w) <= 0.51 for t, w in zip(taken, reference_targets(sizes, [5, 2])))
+    largest = max(len(t[1].split()) for t in texts)
+    assert all(abs(t - w) <= 0.5 * largest + 0.5 for t, w in zip(taken, reference_targets(sizes, [5, 2])))
     assert max(Counter(r.doc_id for r in rows).values()) <= 2
 
 
-def test_mixing_stage_keeps_line_breaks_of_a_cut(spark):
+def test_mixing_stage_never_cuts(spark):
     docs = spark.createDataFrame([(1, "a\nb  c\n d e\tf", "en", "a", 14)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.text for r in corpus_pipeline.source_mixing(spark, docs, DATA).collect()) == ["a\nb  c", "a\nb  c\n d e\tf"]
+    assert [r.text for r in corpus_pipeline.source_mixing(spark, docs, DATA).collect()] == ["a\nb  c\n d e\tf"] * 2
+
+
+def test_dedup_stage_keeps_one_row_of_a_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", None, 1), (1, text, "en", "a", 2), (2, text + " x", None, "b", 3), (3, None, "en", "a", 4), (None, text, "en", "a", 5),
+            (4, "only here", None, None, None), (1, "another text of the same number " * 9, "en", "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()]
+    assert set(got) <= set(rows) and sorted(r[0] or 0 for r in got) == [0, 1, 3, 4]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shingles import by_bytes
+from tidemark.llm.shingles import by_bytes, text_slices
 
 # First and last code point of the letters of a script.
 SCRIPTS = {
@@ -334,9 +334,8 @@ def accepted(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty, floors=floors)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in by_bytes(texts, 1 << 20):
-                keep = labeller.known(texts[lo:hi], least)
+            for lo, hi, texts in text_slices(batch, most=1 << 19):
+                keep = labeller.known(texts, least)
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

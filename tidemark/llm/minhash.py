@@ -9,7 +9,8 @@ compared in full up to distance 33, more than five standard deviations above the
 
 No key's members are multiplied out. Equal sets are one class. In a first round the members of a key are compared with
 the key's leader; in ``CHAINS`` further ones each with its neighbour in a random order of the key's members; each document
-confirms its nearest such partner, and confirmed links make components. Documents whose keys then still hold several
+confirms its nearest such partner, and confirmed links make components. A text reaches the confirmation once for each pair
+as the second document and once for up to ``LED`` pairs as the first. Documents whose keys then still hold several
 components count their shingles in parts of the hash space, without those no other such document has. The common part of
 a pair is at most the sum of the smaller counts, which bounds the sizes a partner can have; pairs of different components
 within these bounds are enumerated, filtered by signature distance, and confirmed. Every pair under a common key is thus either confirmed, refuted or
@@ -18,17 +19,19 @@ already connected, so the components are those of all links.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import stage
-from tidemark.llm.shingles import by_bytes, shingle_sets
+from tidemark.llm.shingles import by_bytes, shingle_sets, text_slices
 
 CHUNKS, WITHIN, BITS = 12, 5, 12
 #: Pairs within 2 * CHUNKS - 1 positions are certain to meet; those that meet are kept up to this distance.
@@ -37,8 +40,10 @@ PERCENT = 75
 CHAINS = 2
 #: Members of a key that stand in one chain; larger keys have several, dealt anew in each round.
 CHAIN_ROWS = 10_000
-#: Ratio of the sizes that bound a slice of the last join.
-SLICE = 1.1
+#: Pairs of one first document that are confirmed in one task.
+LED = 1000
+#: Ratio of the sizes that bound a slice of the last join, and rows of a slice that one task compares with others.
+SLICE, SLICE_ROWS = 1.1, 500
 #: Parts of the hash space in which shared shingles are counted apart.
 PARTS = 32
 PART = [f"c{i}" for i in range(PARTS)]
@@ -63,22 +68,30 @@ def packed_signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and the signature, one row a document."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, row, n_shingles, two hashes of the set, the signature, the text, and ``keep`` columns as a struct.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    One row a document. ``row`` numbers the rows of the written table; it is not the same when the table is made again.
+    """
+
+    numbers = ["row", "n_shingles", "h1", "h2", *SIGNATURE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for lo, hi in by_bytes(texts):
-                sets = shingle_sets(texts[lo:hi])
-                sig = packed_signatures(sets)
-                frame = {"doc_id": batch["doc_id"].iloc[lo:hi], "n_shingles": [len(s) for s in sets]}
-                frame["h1"] = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
-                frame["h2"] = [int((s * s + (s >> np.uint64(7))).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pd.DataFrame(frame | {c: sig[:, i] for i, c in enumerate(SIGNATURE)})
+            for lo, hi, texts in text_slices(batch):
+                sets = shingle_sets(texts)
+                h1 = [int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0 for s in sets]
+                h2 = [int((s * s + (s >> np.uint64(7))).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                columns = [np.arange(row, row + hi - lo), [len(s) for s in sets], h1, h2, *packed_signatures(sets).T]
+                own = batch.slice(lo, hi - lo)
+                arrays = [pa.array(c, pa.int64()) for c in columns]
+                yield pa.RecordBatch.from_arrays([*own.columns, *arrays], [*own.schema.names, *numbers])
+                row += hi - lo
 
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIGNATURE)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    kept = F.struct(*keep) if keep else F.lit(None).cast("int")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kept.alias("kept"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, *[StructField(c, LongType()) for c in numbers]]))
 
 
 def _keys() -> Column:
@@ -160,33 +173,36 @@ def _chain(placed: DataFrame, turn: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[int, np.ndarray] = OrderedDict()
+    """Pairs whose full shingle sets reach the threshold.
 
-        def of(doc: int, text: str) -> np.ndarray:
-            if doc not in held:
-                held[doc] = shingle_sets([text])[0]
-                if len(held) > 64:
-                    held.popitem(last=False)
-            held.move_to_end(doc)
-            return held[doc]
+    The pairs of one first document stand behind its text, in parts of about ``LED`` pairs, and are read as a stream: a task
+    holds the set of one first document and those of a few texts.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leader, held = None, None
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                x, y = of(a, ta), of(b, tb)
-                same = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            yield batch.loc[keep, ["a", "b"]]
-
-    ready = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    )
-    return ready.mapInPandas(run, "a long, b long")
+            texts = batch["text"].tolist()
+            for lo, hi in by_bytes(texts):
+                keep = []
+                rows = zip(batch["a"].iloc[lo:hi], batch["b"].iloc[lo:hi], shingle_sets(texts[lo:hi]))
+                for a, b, own in rows:
+                    if a == b:
+                        leader, held = a, own
+                        continue
+                    if a != leader:
+                        raise ValueError("a pair without the text of its first document")
+                    same = np.intersect1d(held, own, assume_unique=True).size
+                    if 100 * same >= PERCENT * (len(held) + len(own) - same):
+                        keep.append((a, b))
+                yield pd.DataFrame(keep, columns=["a", "b"], dtype=np.int64)
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    wanted = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct())
+    ready = wanted.join(texts.select(F.col("row").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    first = F.col("a") != F.col("b")
+    return ready.repartition("a", "part").sortWithinPartitions("a", "part", first).select("a", "b", "text").mapInPandas(run, "a long, b long")
 
 
 def _by_hash(s: np.ndarray) -> np.ndarray:
@@ -194,18 +210,15 @@ def _by_hash(s: np.ndarray) -> np.ndarray:
     return np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
 
 
-def _shared(still: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``still`` with ``shared``, how many of a document's shingles some other open document has, and that by part.
-
-    For an id that several texts have, all shingles count as shared and each count is the largest of its texts.
-    """
+def _shared(still: DataFrame, texts: DataFrame) -> DataFrame:
+    """``still`` with ``shared``, how many of a document's shingles some other open document has, and that by part."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for lo, hi in by_bytes(texts):
                 sets = shingle_sets(texts[lo:hi])
-                docs = np.repeat(batch["doc_id"].to_numpy()[lo:hi], [len(s) for s in sets])
+                docs = np.repeat(batch["row"].to_numpy()[lo:hi], [len(s) for s in sets])
                 yield pd.DataFrame({"rep": docs, "shingle": np.concatenate(sets).view(np.int64)})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,16 +227,14 @@ def _shared(still: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFram
             for lo, hi in by_bytes(texts):
                 own = [np.array([] if o is None else o, np.int64).view(np.uint64) for o in batch["own"].iloc[lo:hi]]
                 parts = np.array([_by_hash(s) - _by_hash(o) for s, o in zip(shingle_sets(texts[lo:hi]), own)])
-                yield pd.DataFrame({"rep": batch["doc_id"].iloc[lo:hi].to_numpy()} | {c: parts[:, i] for i, c in enumerate(PART)})
+                yield pd.DataFrame({"rep": batch["row"].iloc[lo:hi].to_numpy()} | {c: parts[:, i] for i, c in enumerate(PART)})
 
-    opened = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    opened = texts.join(still.select(F.col("rep").alias("row")).distinct(), "row", "left_semi")
     shingles = opened.mapInPandas(split, "rep long, shingle long").groupBy("shingle")
-    alone = shingles.agg(F.count("*").alias("docs"), F.min("rep").alias("doc_id")).where("docs = 1")
-    alone = alone.join(repeated.withColumnRenamed("rep", "doc_id"), "doc_id", "left_anti")
-    own = alone.groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
-    parts = opened.join(own, "doc_id", "left").select("doc_id", "text", "own")
+    alone = shingles.agg(F.count("*").alias("docs"), F.min("rep").alias("row")).where("docs = 1")
+    own = alone.groupBy("row").agg(F.collect_list("shingle").alias("own"))
+    parts = opened.join(own, "row", "left").select("row", "text", "own")
     parts = parts.mapInPandas(count, "rep long, " + ", ".join(f"{c} int" for c in PART))
-    parts = parts.groupBy("rep").agg(*[F.max(c).alias(c) for c in PART])
     return still.join(parts, "rep").withColumn("shared", sum((F.col(c) for c in PART), F.lit(0)))
 
 
@@ -233,9 +244,10 @@ def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     With I common shingles of sets of x and y, the threshold is (100 + P) * I >= P * (x + y), and I is at most the sum
     over the parts of the smaller of both shared counts. The smaller set of a pair must pass with a partner of its own
     size; the larger one has a largest partner, ``top``, and a smallest, ``low``. A pair that meets under several keys
-    is made under the first of them only.
+    is made under the first of them only. The smaller sets of a large slice of a key are dealt to blocks, and each larger
+    set meets every block, so the comparisons of a hot key are those of many tasks.
     """
-    shared = _shared(still, texts, reps.groupBy("rep").count().where("count > 1").select("rep"))
+    shared = _shared(still, texts)
     rows = stage(shared.join(reps.select("rep", F.col("n_shingles").alias("n"), *SIGNATURE), ["rep", "n"]), "shared")
     # None of these is NULL; said so, the condition of the join compiles to code short enough for the JIT.
     known = [*PART, *SIGNATURE, "shared", "component", "n", "rep", "slot"]
@@ -243,6 +255,8 @@ def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     whole = 100 + PERCENT
     size = lambda n: F.floor(F.log(n) / float(np.log(SLICE)))
     small = rows.where(whole * F.col("shared") >= 2 * PERCENT * F.col("n")).withColumn("slice", size(F.col("n")))
+    blocks = small.groupBy("key", "slice").agg(F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("blocks"))
+    blocks = stage(blocks, "slices")
     held = small.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
     )
@@ -251,37 +265,32 @@ def _across(still: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     large = rows.join(held, "key").where("lo <> component or hi <> component")
     large = large.withColumn("low", F.greatest(low, "least")).withColumn("top", F.least(top, "most")).where("low <= top")
     large = large.withColumn("slice", F.explode(F.sequence(size(F.col("low")), size(F.col("top")))))
+    small = small.join(blocks, ["key", "slice"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    large = large.join(blocks, ["key", "slice"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = small.alias("x"), large.alias("y")
     both = F.col("x.n") + F.col("y.n")
     common = F.expr(" + ".join(f"if(x.{c} < y.{c}, x.{c}, y.{c})" for c in PART))
     fits = (whole * F.least("x.shared", "y.shared") >= PERCENT * both) & (whole * common >= PERCENT * both)
     ordered = F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")
     apart = F.col("x.component") != F.col("y.component")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice"))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.block") == F.col("y.block"))
     pairs = x.join(y, met & apart & ordered & _first_meeting("x", "y") & fits)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
-
-    Documents are linked when 100 * |A and B| >= 75 * |A or B| for their sets of 5-word shingles. A NULL or wordless
-    text has an empty set and links with nothing; a row with a NULL id links with nothing, has a NULL component and is
-    kept. Rows that repeat an id with another text are of one component by that id. Other columns are ignored.
-    """
-    sig = stage(signatures(docs, id_col, text_col), "signatures")
-    full = sig.where("n_shingles > 0 and doc_id is not null")
-    same = ["n_shingles", "h1", "h2"]
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in SIGNATURE])
-    reps = stage(classes.select("rep", "n_shingles", "h1", "h2", *SIGNATURE), "classes")
-    members = full.join(reps.select("rep", *same), same).where("rep <> doc_id").select("doc_id", "rep")
+def _grouped(sig: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles and component_id of every row of a written table of signatures."""
+    same, texts = ["n_shingles", "h1", "h2"], sig.select("row", "text")
+    full = sig.where("n_shingles > 0 and doc_id is not null").drop("text", "kept")
+    # A class is known by one of its rows: every class has one text, also where an id has several.
+    classes = full.groupBy(*same).agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("smallest"), *[F.min(c).alias(c) for c in SIGNATURE]
+    )
+    reps = stage(classes, "classes")
 
     keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode(_keys()).alias("slot", "key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
     keyed = stage(keyed.join(groups, "key"), "keys")
-    ids = keyed.select(F.col("rep").alias("doc_id")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = stage(source.join(ids, "doc_id", "left_semi").distinct(), "texts")
 
     def placed(links: DataFrame) -> DataFrame:
         """Members of keys that still lie in several components of these links."""
@@ -298,14 +307,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = first.union(stage(_confirmed(_nearest(_chain(placed(first), turn), reps), texts), "links"))
     still = placed(first)
     across = _across(still, reps, texts)
-    second = stage(_confirmed(_near(across, reps), texts), "links")
-
-    links = first.union(second).union(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    found = components(links, "a", "b")
-    component = F.coalesce("component", "doc_id")
-    return sig.join(found, sig["doc_id"] == found["node"], "left").select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    second = stage(_confirmed(_near(across, reps).select("a", "b"), texts), "links")
+
+    # Classes that hold rows of one id are of one component too.
+    named = full.select("doc_id", *same).distinct().join(reps.select("rep", *same), same).select("doc_id", "rep")
+    lowest = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    repeated = named.join(lowest, "doc_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    found = components(first.union(second).union(repeated), "a", "b")
+    ended = reps.join(found, reps["rep"] == found["node"], "left")
+    ended = stage(ended.select(*same, "smallest", F.coalesce("component", "rep").alias("component")), "ended")
+    least = ended.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    of = ended.join(least, "component").select(*same, "component_id")
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows = sig.select("doc_id", "row", *same).join(of, same, "left")
+    return rows.select("doc_id", "row", "n_shingles", known.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+
+    Documents are linked when 100 * |A and B| >= 75 * |A or B| for their sets of 5-word shingles. A NULL or wordless
+    text has an empty set and links with nothing; a row with a NULL id links with nothing, has a NULL component and is
+    kept. Rows that repeat an id with another text that has words are of one component by that id. Other columns are
+    ignored. An empty table gives no rows.
+    """
+    sig = stage(signatures(docs, id_col, text_col), "signatures")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _grouped(sig).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component, of its smallest id.
+
+    Of rows that repeat that id one stays. Rows with a NULL id all stay. The columns are those of ``docs``, unchanged; a
+    text is read from the written table, and only rows that go are joined with it.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    sig = stage(signatures(docs, id_col, text_col, others), "signatures")
+    rows = stage(_grouped(sig).where("doc_id is not null"), "components")
+    stays = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("stay"))
+    gone = rows.join(stays, "component_id", "left").where("stay is null or row <> stay").select("row")
+    columns = [F.col("text").alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in docs.columns]
+    return sig.join(gone, "row", "left_anti").select(*columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 PIECE = 1 << 20
@@ -80,3 +82,17 @@ def by_bytes(texts: list[str | None], most: int = 2 << 20):
         held += n
     if texts:
         yield lo, len(texts)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
+    """(lo, hi, texts) of consecutive rows of about ``most`` bytes together, so few texts are Python strings at a time."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and held + n > most:
+            yield lo, i, texts.slice(lo, i - lo).to_pylist()
+            lo, held = i, 0
+        held += n
+    if len(sizes):
+        yield lo, len(sizes), texts.slice(lo).to_pylist()
