@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, pii
-from tidemark.llm.minhash import near_duplicates
-from tidemark.llm.mixing import mixture, whole_rows
+from tidemark.llm.minhash import deduplicated
+from tidemark.llm.mixing import mixture, shuffled, whole_rows
 from tidemark.llm.packing import pack
 from tidemark.llm.shared import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shard that the mix is dealt to.
+SHARD_WORDS = 1 << 22
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters or mostly in other languages go."""
+    """Documents in a known language; those without letters or mostly in other languages go.
+
+    A NULL text has no letters. Rows are judged by their text alone, so repeated rows stay or go together; NULLs in other
+    columns stay as they are.
+    """
     docs = docs.select(*COLUMNS)
     rows = langid.training_rows(docs)
     model = langid.fit(rows)
@@ -23,14 +29,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group of near copies, the one with the smallest id, and one row of it.
+
+    Documents without words and rows with a NULL id are in no group and stay. NULLs in other columns stay as they are.
+    """
+    return deduplicated(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by the names of its kinds."""
+    """Documents with personal data replaced by the names of its kinds.
+
+    All rows stay, in any number; a NULL text becomes an empty one, and n_chars counts the new text.
+    """
     docs = docs.select(*COLUMNS)
     found = pii.personal_data(docs, pii.fit(pii.training_texts(docs)), keep=("lang", "source"))
     return found.select(
@@ -39,23 +49,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole; words of a source equal its target rounded.
+    """Documents as often as the mix draws them, always whole, by shard in the shard's random order.
 
-    Only where no choice of whole documents gives a source's words, one is cut to the words that are still needed.
+    A source's words lie within half a document of its target. Documents without words are drawn never, NULL sources are a
+    source of their own, and rows that repeat an id count each.
     """
-    mixed = whole_rows(mixture(docs.select(*COLUMNS), keep=COLUMNS))
-    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
-    part = F.when(F.col("cut") > 0, F.array(F.col("cut"))).otherwise(F.array().cast("array<bigint>"))
-    drawn = mixed.select(
-        *COLUMNS, F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), part)).alias("cut")
-    )
-    drawn = drawn.withColumn("text", F.when(F.col("cut") > 0, cut).otherwise(F.col("text")))
-    return drawn.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return shuffled(whole_rows(mixture(docs.select(*COLUMNS), keep=COLUMNS, shard_words=SHARD_WORDS))).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all drawn documents with their places in sequences."""
+    """Pieces of all drawn documents with their places in sequences; a row that is drawn twice is packed twice."""
     return pack(docs.select(*COLUMNS))
 
 
