@@ -113,3 +113,30 @@ def test_redaction():
     text = "a b@c.de, +1 (988) 555-2485!"
     assert pii.redact(text, pii.base_spans(text)) == "a <EMAIL>, <PHONE>!"
     assert pii.redact("0123456789", [(1, 0, "ip", 5), (3, 1, "card", 7)]) == "0<IP>789"
+
+
+def test_long_digit_runs():
+    text = "0" * 5000 + "1.2.3.4 and 256.1.1.1 and " + "9" * 6000 + ".1.1.1"
+    assert pii.base_spans(text) == brute_force_long(text)
+    assert not pii.plausible("ip", "1" * 5000 + ".1.1.1") and pii.is_byte("0" * 5000) and not pii.is_byte("256")
+
+
+def brute_force_long(text):
+    return [(0, 1, "ip", 5007)]
+
+
+def test_a_long_region_stands_alone(monkeypatch):
+    assert [len(g) for g in pii._padded_groups([0, 1, 2, 3], [5, 6, 7, 100], 21)] == [3, 1]
+    tagger = pii.Tagger()
+    texts = ["call 555 123 4567 now " * k for k in (1, 2, 3)] + ["7 1" * 3000]
+    regions = [pii.classes(t) for t in texts]
+    whole = tagger.labels(regions)
+    assert all((a == b).all() for a, b in zip(whole, [tagger.labels([r])[0] for r in regions]))
+
+
+def test_training_texts_are_few_and_different(spark):
+    rows = [(i % 3, f"mail{i % 7}@x.org") for i in range(500)] + [(None, "a@b.cd"), (5, None), (6, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.training_texts(docs, 10)
+    assert len(got) == 10 and pii.training_texts(docs.repartition(5), 10) == got
+    assert len(pii.training_texts(docs, 1000)) == 22 and pii.training_texts(docs.where("false")) == []

@@ -50,6 +50,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(digits: str) -> bool:
+    """Whether digits, of any number, are at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, done = text.find("@"), 0
     while at >= 0:
@@ -68,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     out = [(a, 0, "email", b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(is_byte(p) for p in m[0].split(".")):
                 out.append((m.start(), 1, "ip", m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -180,8 +186,7 @@ class Tagger:
                 votes[k][np.arange(lo, lo + n), b[:n]] += w
         out = [np.zeros(0, np.int8)] * len(regions)
         order = sorted(range(len(regions)), key=lambda k: len(regions[k]))
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
+        for own in _padded_groups(order, [len(r) for r in regions]):
             lengths = np.array([len(regions[k]) for k in own])
             scores = np.zeros((len(own), lengths.max(), LABELS))
             for row, k in zip(scores, own):
@@ -191,6 +196,21 @@ class Tagger:
         return out
 
 
+def _padded_groups(order: list[int], sizes: list[int], most: int = 1 << 16) -> Iterator[list[int]]:
+    """Groups of regions in ascending order of size that are padded to at most ``most`` characters together.
+
+    A longer region stands alone.
+    """
+    own: list[int] = []
+    for k in order:
+        if own and (len(own) + 1) * sizes[k] > most:
+            yield own
+            own = []
+        own.append(k)
+    if own:
+        yield own
+
+
 def crf_gradient(scores: np.ndarray, lengths: np.ndarray, labels: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the negative log likelihood of label sequences: expected minus observed counts."""
     rows, steps, k = scores.shape
@@ -287,7 +307,7 @@ def plausible(kind: str, value: str) -> bool:
     if re.search("[A-Za-z]", value):
         return False
     if kind == "ip":
-        return len(groups) == 4 and value.count(".") == 3 and all(int(g) <= 255 for g in groups)
+        return len(groups) == 4 and value.count(".") == 3 and all(is_byte(g) for g in groups)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits) and 3 <= len(groups) <= 5
     return 9 <= len(digits) <= 15 and 3 <= len(groups) <= 5 and (value[0] == "(" or len(groups[-1]) == 4 and len(groups[-2]) == 3)
@@ -324,9 +344,17 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """At most ``rows`` texts with an @ or a run of digits, those with the smallest hashes of their ids."""
-    some = docs.where(F.col(text_col).rlike("@|[0-9]{3}")).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-    return [r["t"] for r in some.orderBy("h", "t").limit(rows).collect()]
+    """At most ``rows`` different texts with an @ or a run of digits, those with the smallest hashes of their ids.
+
+    The hashes are ranked first, so few texts leave the tasks.
+    """
+    some = docs.where(F.col(text_col).rlike("@|[0-9]{3}"))
+    some = some.select(F.struct(F.xxhash64(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("h"), F.col(text_col).alias("t"))
+    edge = some.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    if edge is None:
+        return []
+    below = F.col("h") <= F.struct(F.lit(edge["id"]).alias("id"), F.lit(edge["text"]).alias("text"))
+    return [r["t"] for r in some.where(below).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").limit(rows).collect()]
 
 
 def fit(texts: list[str]) -> Tagger:
