@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import learning, signals, streams, study, video
+from tidemark.plans import arrivals, learning, signals, streams, study, video
 
-_PARTS = [video, signals, study, learning, streams]
+_PARTS = [video, signals, study, learning, streams, arrivals]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,13 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 CLOCK = "_clock"
+#: Seconds between the clock and times of receipt. A watermark starts at the epoch and drops what lies before, and times may be
+#: counted from the start of a recording.
+SHIFT_S = 1_000_000_000
+
+
+def clock(received: str) -> Column:
+    """The time of receipt as a timestamp for the watermark."""
+    return F.timestamp_micros(((F.col(received) + SHIFT_S) * 1_000_000).cast("bigint"))
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
@@ -90,15 +98,15 @@ class InOrder(StatefulProcessor):
         self.waiting.updateValue((slot,), (_packed(part),))
 
     def _due_ms(self, slot: int) -> int:
-        return int(np.ceil(((slot + 1) * self.slot_s + self.lateness_s) * 1000))
+        return int(np.ceil(((slot + 1) * self.slot_s + self.lateness_s + SHIFT_S) * 1000))
 
     def _silence_ms(self, received: float) -> int:
         """When a later row on time is more than the gap behind every row so far."""
-        return int(np.ceil((received + self.lateness_s + self.gap_s) * 1000)) + 1
+        return int(np.ceil((received + self.lateness_s + self.gap_s + SHIFT_S) * 1000)) + 1
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = int(np.floor((now / 1000 - self.lateness_s) / self.slot_s + 1e-6)) - 1
+        slot = int(np.floor((now / 1000 - SHIFT_S - self.lateness_s) / self.slot_s + 1e-6)) - 1
         if self._due_ms(slot) == now and self.waiting.containsKey((slot,)):
             rows = _unpacked(self.waiting.getValue((slot,))[0]).sort_values(self.at, kind="stable", ignore_index=True)
             self.waiting.removeKey((slot,))
@@ -146,7 +154,7 @@ def in_order(
     engine and counted in the query's progress. A row without ``at`` or ``received`` is late. Rows of a NULL key only move
     the clock; they are left out by the processor, because a filter would be moved below the watermark.
     """
-    clocked = stream.withColumn(CLOCK, F.timestamp_micros((F.col(received) * 1_000_000).cast("bigint"))).withWatermark(CLOCK, skew)
+    clocked = stream.withColumn(CLOCK, clock(received)).withWatermark(CLOCK, skew)
     return (
         clocked.groupBy(key)
         .transformWithStateInPandas(

@@ -18,6 +18,7 @@ from tidemark.functions.numeric import finite
 from tidemark.operators.features import features_of_cut_windows, finished_features
 from tidemark.operators.windows import quality_gate
 from tidemark.schemas import require_columns
+from tidemark.streaming.arrival import CLOCK, clock
 
 FRAME_VALUES = [
     "ear_mean",
@@ -341,6 +342,16 @@ def passed_frames(at_ms, video_time, fps: float, last: tuple):
     return keep, last
 
 
+def without_repeats(frames: DataFrame, keys: Sequence[str] = ("session_id", "at"), received: str = "received", within: str = "30 seconds") -> DataFrame:
+    """A stream of frames without repeats of a key; the one that arrives first stays.
+
+    A key is remembered until the time of receipt has moved on by ``within``, so the state holds the keys of that time only.
+    A repeat that comes later passes.
+    """
+    clocked = frames.withColumn(CLOCK, clock(received)).withWatermark(CLOCK, within)
+    return clocked.dropDuplicatesWithinWatermark(list(keys)).drop(CLOCK)
+
+
 def throttled_stream(frames: DataFrame, fps: float = 30.0) -> DataFrame:
     """Throttled frames of a stream with ``session_id``, ``at_ms`` and ``video_time``."""
     return frames.groupBy("session_id").transformWithStateInPandas(

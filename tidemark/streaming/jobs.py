@@ -80,6 +80,31 @@ def stream_table(spark: SparkSession, path: str, schema=None, files_per_trigger:
     return reader.parquet(path)
 
 
+def replay_files(df: DataFrame, received: str, path: str, files: int = 5, silence_s: float = 1e6) -> DataFrame:
+    """A table as a stream of files that arrive one a micro-batch, in the order of ``received`` (seconds).
+
+    Inside a file rows stand in any order. A last file of one row, all NULL but for ``received``, moves the clock by
+    ``silence_s``, as a source does that goes on after these sessions. Files are told apart by their times, which are set here.
+    """
+    spark = df.sparkSession
+    df.repartitionByRange(files, received).write.parquet(path)
+    end = df.agg((F.max(received) + F.lit(silence_s)).alias(received))
+    blank = [(F.col(received) if c == received else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]
+    # One row behind the last time of receipt.
+    end.select(*blank).write.mode("append").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    # The parts of the table bear the numbers of their ranges; the row behind them was written in a second job.
+    newest = max(found, key=lambda f: f.getModificationTime()).getPath().toString()
+    names = sorted((f.getPath().toString() for f in found if f.getPath().toString() != newest)) + [newest]
+    first = min(f.getModificationTime() for f in found) - 1000 * len(names)
+    for i, name in enumerate(names):
+        system.setTimes(hadoop.Path(name), first + 1000 * i, -1)
+    return stream_table(spark, path, df.schema, files_per_trigger=1)
+
+
 def ingest_collected(requests: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Training rows and their counts per participant from a stream of collection requests."""
     spark = requests.sparkSession
