@@ -9,7 +9,7 @@ every word of the whole text, and words of one label side by side form a span.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,15 +96,26 @@ class LanguageModel:
         return np.where(candidate.any(axis=1, keepdims=True), np.where(candidate, out, -50.0), 0.0)
 
 
+def _by_words(texts: Iterable[str], most: int) -> Iterator[list[str]]:
+    """Words of all texts, about ``most`` at a time, so that the driver holds few of them."""
+    held: list[str] = []
+    for text in texts:
+        held += _WORD.findall(text)
+        if len(held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     """A model from (text, language) rows."""
     languages = sorted({lang for _, lang in rows})
     counts = np.zeros((BUCKETS, max(len(languages), 1)))
     scripts = np.zeros((len(SCRIPTS) + 1, max(len(languages), 1)))
     for k, lang in enumerate(languages):
-        words = [w for text, own in rows if own == lang for w in _WORD.findall(text)]
-        for lo in range(0, len(words), 100_000):
-            bucket, _, script = ngrams(words[lo : lo + 100_000])
+        for words in _by_words((text for text, own in rows if own == lang), 10_000):
+            bucket, _, script = ngrams(words)
             counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
             scripts[:, k] += np.bincount(script, minlength=len(SCRIPTS) + 1)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
