@@ -78,11 +78,22 @@ def test_ranks_spearman_auc(spark):
     assert ranks.roc_auc(df.where("c = 1"), "c", "x").first().auc is None
 
 
-def test_order_bins_never_decrease(spark):
-    values = sorted([0.0, 5e-324, -5e-324, 1e308, -1e308, 0.5, 0.49999999999, 1.0, 2.0, 1.9999999999999998] + [random.Random(7).gauss(0, 10) for _ in range(500)])
+def test_ranges_follow_the_values(spark):
+    rng = random.Random(7)
+    narrow = [1.0 + rng.random() / 1e6 for _ in range(3000)]
+    values = narrow + [0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0, 1.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    bins = [r.b for r in df.select("v", ranks.order_bin(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert bins == sorted(bins)
+    cuts = ranks.splitters(df, "v", 12)
+    rows = ranks.in_ranges(df, "v", cuts).orderBy("v").collect()
+    bins = [r[ranks.BIN] for r in rows]
+    assert bins == sorted(bins) and len(set(bins)) == 12
+    sizes = [bins.count(b) for b in set(bins)]
+    assert max(sizes) < 1.3 * len(values) / 12
+    got = {r.v: r.rk for r in ranks.average_ranks(df, "v", "rk").collect()}
+    assert all(got[v] == r for v, r in zip(values, average_rank(np.array(values))))
+    assert ranks.splitters(df.limit(0), "v", 12) == [] and ranks.average_ranks(df.limit(0), "v", "rk").collect() == []
+    longs = spark.createDataFrame([(2**60 + i,) for i in range(50)], "v long")
+    assert [r.rk for r in ranks.average_ranks(longs, "v", "rk").orderBy("v").collect()] == list(range(1, 51))
 
 
 def windows(spark, rows):
@@ -188,3 +199,19 @@ def test_ranks_leave_out_nan_and_infinity(spark):
     assert ranks.spearman(df, "x", "y").first() == ranks.spearman(clean, "x", "y").first()
     assert ranks.roc_auc(df, "label", "x").first() == ranks.roc_auc(df.where("x < 1000"), "label", "x").first()
     assert scoring.latency_stats(df, "x").first() == scoring.latency_stats(df.where("x < 1000"), "x").first()
+
+
+def test_merged_sketches_estimate_quantiles(spark):
+    from tidemark.operators import sketches
+
+    rng = random.Random(9)
+    rows = [(h, rng.expovariate(1.0) * (1 + h)) for h in range(6) for _ in range(3000)] + [(7, None), (7, float("nan")), (8, 2.0)]
+    stored = sketches.sketched(spark.createDataFrame(rows, "hour int, v double"), "v", ["hour"])
+    values = np.sort([v for _, v in rows if v is not None and v == v])
+    r = sketches.estimates(sketches.merged(stored), [0.0, 0.5, 0.95, 1.0]).first()
+    assert (r["count"], r["max"], r["mean"]) == (len(values), values[-1], pytest.approx(values.mean()))
+    for q, got in zip([0.5, 0.95], [r.q1, r.q2]):
+        assert abs(np.searchsorted(values, got) / len(values) - q) < 0.015
+    assert (r.q0, r.q3) == (values[0], values[-1])
+    hours = {x.hour: x for x in sketches.estimates(stored, [0.5], ["hour"]).collect()}
+    assert 7 not in hours and hours[8].q0 == 2.0 and sketches.merged(stored.limit(0), ["hour"]).collect() == []

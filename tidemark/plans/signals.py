@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import PHYSIO_FEATURES
 from tidemark.functions import geometry, numeric, text
 from tidemark.functions.geometry import LandmarkIndices
-from tidemark.operators import alignment, ranks, scoring, signals, windows
+from tidemark.operators import alignment, ranks, scoring, signals, sketches, windows
 from tidemark.plans.tables import (
     EVENTS_SQL,
     FRAMES_SQL,
@@ -146,6 +146,27 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.latency_stats(load(spark, sf_dir, "events"), "value"))
 
 
+RANK_ERROR = 0.015
+POINTS = (0.5, 0.95, 0.99)
+
+
+def sketched_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every day and of all days from sketches stored by the hour, and whether each estimated quantile lies
+    within the rank error of the exact one."""
+    ev = load(spark, sf_dir, "events").select(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH").alias("hour"), "value")
+    hours = writers.staged(sketches.sketched(ev, "value", ["hour"]), "hours").withColumn("day", F.substring("hour", 1, 10))
+    days = sketches.merged(hours, ["day"]).unionByName(sketches.merged(hours).withColumn("day", F.lit("all")))
+    found = writers.staged(sketches.estimates(days, POINTS, ["day"]), "estimates")
+    rows = ev.select(F.explode(F.array(F.substring("hour", 1, 10), F.lit("all"))).alias("day"), "value").join(found, "day")
+    shares = [F.avg((F.col("value") < F.col(f"q{i}")).cast("int")).alias(f"lo{i}") for i in range(len(POINTS))]
+    shares += [F.avg((F.col("value") <= F.col(f"q{i}")).cast("int")).alias(f"hi{i}") for i in range(len(POINTS))]
+    close = [
+        ((F.col(f"lo{i}") - RANK_ERROR <= q) & (F.col(f"hi{i}") + RANK_ERROR >= q)).alias(n) for i, (q, n) in enumerate(zip(POINTS, ("median_close", "p95_close", "p99_close")))
+    ]
+    out = found.join(rows.groupBy("day").agg(*shares), "day")
+    return rounded(out.select("day", "count", "mean", "max", *close))
+
+
 # --- geometry ------------------------------------------------------------------------------------
 
 # Small positions: embeddings of 64 entries give 21 points each; the last entry is no whole point.
@@ -334,6 +355,7 @@ QUERIES = {
     "session_label_join": session_label_join,
     "label_counts": label_counts,
     "latency_stats": latency_stats,
+    "sketched_latency": sketched_latency,
     "frame_geometry": frame_geometry,
     "face_boxes": face_boxes,
     "collected_rows": collected_rows,
@@ -577,6 +599,9 @@ ORACLES = {
     "label_counts": "SELECT quality, count(*) AS n FROM labels GROUP BY quality",
     "latency_stats": """SELECT round(avg(value), 6) AS mean, max(value) AS max, count(value) AS count, round(quantile_cont(value, 0.5), 6) AS median,
         round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events""",
+    "sketched_latency": """WITH v AS (SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events UNION ALL SELECT 'all', value FROM events)
+        SELECT day, count(value) AS count, round(avg(value), 6) AS mean, max(value) AS max, true AS median_close, true AS p95_close, true AS p99_close
+        FROM v GROUP BY day HAVING count(value) > 0""",
     "frame_geometry": _GEOMETRY_SQL,
     "face_boxes": _BOX_SQL,
     "collected_rows": f"""WITH {_COLLECTED_SQL} SELECT participant_id AS user_id, timestamp, window_index, CASE WHEN label = 'high' THEN 1 ELSE 0 END AS label,
