@@ -32,3 +32,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state == seen or not state[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen, current = state, stage(_stars(current), "edges")
+
+
+def joined_components(known: DataFrame | None, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The written components of all edges so far: those of ``known``, an earlier result, joined by further edges.
+
+    Only edges between different known components are followed, so a later call works on little more than these.
+    """
+    if known is None:
+        return stage(components(edges, a, b), "components")
+    ends = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for end in ("_a", "_b"):
+        of = known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root"))
+        ends = ends.join(of, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    new = components(ends.where("_a_root <> _b_root"), "_a_root", "_b_root")
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    kept = known.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    # A node of a new edge is the root of its old component, so it has no row yet.
+    return stage(kept.union(new.select("node", "component")), "components")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.components import components
+from tidemark.llm.components import joined_components
 from tidemark.llm.shared import stage
 from tidemark.llm.shingles import by_bytes, shingle_sets, text_slices
 
@@ -173,7 +173,7 @@ def _chain(placed: DataFrame, turn: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold.
+    """Pairs whose full shingle sets reach the threshold, written.
 
     The pairs of one first document stand behind its text, in parts of about ``LED`` pairs, and are read as a stream: a task
     holds the set of one first document and those of a few texts.
@@ -197,12 +197,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         keep.append((a, b))
                 yield pd.DataFrame(keep, columns=["a", "b"], dtype=np.int64)
 
+    pairs = stage(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    # Written, so that its size is known: texts are read past a small table and only shuffled for a large one.
+    dealt = stage(dealt, "dealt")
     wanted = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct())
     ready = wanted.join(texts.select(F.col("row").alias("b"), "text"), "b").select("a", "part", "b", "text")
     first = F.col("a") != F.col("b")
-    return ready.repartition("a", "part").sortWithinPartitions("a", "part", first).select("a", "b", "text").mapInPandas(run, "a long, b long")
+    return ready.repartition("a", "part").sortWithinPartitions("a", "part", first).select("a", "b", "text").mapInPandas(run, "a long, b long").transform(stage, "links")
 
 
 def _by_hash(s: np.ndarray) -> np.ndarray:
@@ -292,9 +295,8 @@ def _grouped(sig: DataFrame) -> DataFrame:
     groups = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
     keyed = stage(keyed.join(groups, "key"), "keys")
 
-    def placed(links: DataFrame) -> DataFrame:
-        """Members of keys that still lie in several components of these links."""
-        comp = stage(components(links, "a", "b"), "components")
+    def placed(comp: DataFrame) -> DataFrame:
+        """Members of keys that still lie in several components."""
         rows = keyed.join(comp, keyed["rep"] == comp["node"], "left").select(
             "key", "slot", "rep", "n", "members", F.coalesce("component", "rep").alias("component")
         )
@@ -302,18 +304,19 @@ def _grouped(sig: DataFrame) -> DataFrame:
         return stage(rows.join(several.select("key"), "key", "left_semi"), "open")
 
     led = keyed.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    first = stage(_confirmed(_nearest(led, reps), texts), "links")
+    comp = joined_components(None, _confirmed(_nearest(led, reps), texts), "a", "b")
+    still = placed(comp)
     for turn in range(1, CHAINS + 1):
-        first = first.union(stage(_confirmed(_nearest(_chain(placed(first), turn), reps), texts), "links"))
-    still = placed(first)
+        comp = joined_components(comp, _confirmed(_nearest(_chain(still, turn), reps), texts), "a", "b")
+        still = placed(comp)
     across = _across(still, reps, texts)
-    second = stage(_confirmed(_near(across, reps).select("a", "b"), texts), "links")
+    comp = joined_components(comp, _confirmed(_near(across, reps).select("a", "b"), texts), "a", "b")
 
     # Classes that hold rows of one id are of one component too.
     named = full.select("doc_id", *same).distinct().join(reps.select("rep", *same), same).select("doc_id", "rep")
     lowest = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
     repeated = named.join(lowest, "doc_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    found = components(first.union(second).union(repeated), "a", "b")
+    found = joined_components(comp, repeated, "a", "b")
     ended = reps.join(found, reps["rep"] == found["node"], "left")
     ended = stage(ended.select(*same, "smallest", F.coalesce("component", "rep").alias("component")), "ended")
     least = ended.groupBy("component").agg(F.min("smallest").alias("component_id"))
