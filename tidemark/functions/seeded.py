@@ -34,9 +34,10 @@ def seeded_shuffle(items: Column | str, seed: Column | str) -> Column:
             list_, lambda x, n: F.when(n == i, F.get(list_, j)).when(n == j, F.get(list_, i)).otherwise(x)
         )
 
-    # All places are drawn first: the swaps then compare plain numbers only.
+    # All places are drawn first, and only places are swapped: an item is looked up once, whatever it holds.
     swaps = F.aggregate(places, drawn, draw)["swaps"]
-    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(swaps, items, exchange))
+    order = F.aggregate(swaps, F.sequence(F.lit(0), F.size(items) - 1), exchange)
+    return F.when(F.size(items) < 2, items).otherwise(F.transform(order, lambda i: F.get(items, i)))
 
 
 def reshuffle_seed(seed: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import learning
 from tidemark.operators.features import window_features
 from tidemark.plans.streams import _LIVE_SQL, _SCORES_SQL, LIVE, ORACLES as STREAMS
+from tidemark.plans.study import _WRITES_SQL, _writes
 from tidemark.plans.tables import EVENTS_SQL, FRAMES_SQL, events, frames, rounded
 from tidemark.plans.video import _round
 from tidemark.sources.writers import shared_folder, staged
@@ -15,6 +16,7 @@ from tidemark.streaming.arrival import session_ends
 from tidemark.streaming.frames import FRAME_VALUES, without_repeats
 from tidemark.streaming.jobs import replay_files, run_available
 from tidemark.streaming.live import live_scores, live_windows
+from tidemark.streaming.upsert import Snapshots
 
 #: Frames are received up to five seconds after their time, in an order of their own.
 LATENESS_S, SLOT_S = 6.0, 3.0
@@ -109,7 +111,28 @@ def deduplicated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(without_repeats(stream), "deduplicated").where("session_id is not null").drop("received")
 
 
+def upserted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts and final writes of a stream in any order, the third micro-batch run twice."""
+    drafts, stored, written = _writes(spark, sf_dir)
+    parts = (("draft", drafts, F.lit(None)), ("final", stored, F.lit(0)), ("final", written, F.col("write_seq")))
+    rows = [d.select("record_id", F.lit(kind).alias("kind"), "saved_at", n.cast("int").alias("write_seq")) for kind, d, n in parts]
+    writes = rows[0].union(rows[1]).union(rows[2])
+    writes = writes.withColumn("received", F.pmod(F.xxhash64("record_id", "saved_at"), F.lit(1000)).cast("double"))
+    stream = _replayed(writes, "writes").drop("received")
+    path = shared_folder(spark, "records")
+    table = Snapshots(spark, path, stream.schema, 8)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        for _ in range(1 + (number == 2)):
+            table.merge(batch, number)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.read().drop("write_seq")
+
+
 QUERIES = {
+    "upserted_sessions": upserted_sessions,
     "reordered_window_features": reordered_window_features,
     "closed_sessions": closed_sessions,
     "late_row_counts": late_row_counts,
@@ -133,6 +156,8 @@ scores AS (
 _SMOOTHED_SQL = STREAMS["streamed_scores"].split(_SCORES_SQL, 1)[1]
 
 ORACLES = {
+    "upserted_sessions": f"""WITH {_WRITES_SQL} SELECT record_id, 'final' AS kind, saved_at FROM merged
+        UNION ALL SELECT record_id, 'draft', max(saved_at) FROM drafts WHERE record_id NOT IN (SELECT record_id FROM merged) GROUP BY record_id""",
     "reordered_window_features": f"WITH {_LIVE_SQL} SELECT user_id || '/' || task AS session_id, t_start_s, t_end_s, {_round(_ALL)} FROM wide",
     "closed_sessions": f"""WITH {_MESSAGES_SQL},
         steps AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {GAP_S}, true) AS opens FROM messages WHERE NOT late),
