@@ -70,3 +70,23 @@ def test_odd_pages(spark):
     assert [r.text for r in got if r.page_id == 3] == ["a & b c"] * 2
     assert next(r for r in got if r.page_id == 5).n_blocks == 2001
     assert extraction.extract(table.where("false"), extraction.fit([])).collect() == []
+
+
+def test_long_pages_are_one_sequence(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    labeller = extraction.Labeller()
+    labeller.skip[:] = rng.normal(size=extraction.DIMS) * 0.1
+    pages = [rng.normal(size=(n, extraction.DIMS)).astype(np.float32) for n in (3, 0, 1500, 40, 700, 1)]
+    got = labeller.probabilities(pages)
+    for page, own in zip(pages, got):
+        if len(page):
+            alone = extraction.sigmoid(labeller._logits(page[None], np.array([len(page)]))[0])[0]
+            assert np.allclose(own, alone, atol=1e-5)
+    # The first block of a long page is read in the light of its last one.
+    changed = pages[2].copy()
+    changed[-1] += 50
+    assert len(got[1]) == 0 and not np.array_equal(labeller.probabilities([changed])[0][:-1], got[2][:-1])
+    monkeypatch.setattr(extraction, "BLOCKS_TOGETHER", 100)
+    labeller.train([(p, np.zeros(len(p), np.float32)) for p in pages if len(p)], steps=2)

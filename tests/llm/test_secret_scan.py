@@ -47,3 +47,11 @@ def test_weak_parts_need_each_other(spark):
     got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in
            secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["access", "secret", "endpoint"], 2: [], 3: ["access"], 4: ["access"], 5: ["endpoint", "assign"], 6: ["secret"]}
+
+
+def test_linked_identifiers_are_reported_apart(spark):
+    weak = "wJalrXUtnFEMIxK7MDENGxbPxRfiCYzEXAMPLEKEY"
+    rows = [(1, "client_id=abcdef password=hunter22"), (2, f"user_name: joe_public {weak}"), (3, "client_id=abcdef alone"),
+            (4, "client_id=abcdef" + " far" * 200 + " password=hunter22"), (5, "account_id=12345 " + "0123456789abcdef" * 2), (6, None)]
+    got = {r.doc_id: r.linked_ids for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "id:0:16", 2: "id:0:21", 3: "", 4: "", 5: "id:0:16", 6: ""}

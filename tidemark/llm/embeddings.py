@@ -27,6 +27,8 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import stage
 
 BLOCK_ROWS = 8192
+#: Tasks that pairs of blocks are dealt to, at most.
+MOST_TASKS = 20_000
 TILE = 2048
 #: Covers the rounding of the double-precision bounds themselves, which is below 1e-13 for any width in use.
 SLACK = 1e-9
@@ -154,6 +156,10 @@ def near_vectors(
         "weight",
         "v",
     )
+    # A task for each pair of blocks, whatever its bytes: the work of a pair is quadratic in its rows.
+    pairs = F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2).cast("long")
+    tasks = max(1, min(sizes.agg(pairs.alias("n")).first()["n"] or 1, MOST_TASKS))
+    paired = paired.repartition(tasks, "width", "one", "two")
     found = stage(
         paired.groupBy("width", "one", "two").applyInPandas(_compare(threshold), "vec_id long, n long, root long"),
         "vector-links",

@@ -25,8 +25,8 @@ from tidemark.llm.shingles import by_bytes
 PATH_DIMS, WORD_DIMS, MEASURES = 96, 64, 5
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 SAMPLE_PAGES, VARIANTS, HIDDEN, STEPS = 300, 3, 16, 160
-#: Blocks the labeller reads at once; longer pages are read in overlapping stretches.
-STRETCH, OVERLAP = 512, 64
+#: Pages read at once, and their blocks with padding; a page of more blocks is read alone, in one sequence.
+TOGETHER, BLOCKS_TOGETHER = 64, 1 << 15
 
 # Names that mark main text and what surrounds it, in tags, classes and ids.
 MAIN = frozenset("article main content post story entry body text".split())
@@ -113,18 +113,21 @@ class Labeller:
         self.skip = np.zeros(DIMS, np.float32)
         self.bias = np.zeros(1, np.float32)
 
-    def _logits(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = self.net.forward(x, lengths)
+    def _logits(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        hidden = self.net.forward(x, lengths, keep)
         return hidden @ self.out + x @ self.skip + self.bias, hidden
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed: int = 6) -> None:
         rng, adam = np.random.default_rng(seed), Adam(0.01)
         for _ in range(steps if pages else 0):
             picks = [pages[i] for i in rng.integers(len(pages), size=min(32, len(pages)))]
-            picks = [(f[:STRETCH], y[:STRETCH]) for f, y in picks]
+            # Fewer pages where they are long, none of them cut.
+            longest = np.maximum.accumulate([len(f) for f, _ in picks])
+            fit = int((longest * np.arange(1, len(picks) + 1) <= BLOCKS_TOGETHER // 2).sum())
+            picks = picks[: max(1, fit)]
             x, lengths = padded([f for f, _ in picks])
             target = padded([y[:, None] for _, y in picks])[0][:, :, 0]
-            logits, hidden = self._logits(x, lengths)
+            logits, hidden = self._logits(x, lengths, keep=True)
             inside = np.arange(x.shape[1])[None, :] < lengths[:, None]
             wrong = ((sigmoid(logits) - target) * inside / inside.sum()).astype(np.float32)
             grads = self.net.backward(wrong[:, :, None] * self.out)
@@ -134,23 +137,17 @@ class Labeller:
             )
 
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Every block of every page; a long page in stretches whose borders overlap."""
-        pieces = []
-        for k, f in enumerate(pages):
-            for lo in range(0, max(1, len(f) - OVERLAP), STRETCH - OVERLAP):
-                if len(f):
-                    pieces.append((k, lo, f[lo : lo + STRETCH]))
+        """Every block of every page, each page in one sequence whatever its length."""
         out = [np.zeros(len(f)) for f in pages]
-        pieces.sort(key=lambda p: len(p[2]))
-        for at in range(0, len(pieces), 64):
-            own = pieces[at : at + 64]
-            x, lengths = padded([f for _, _, f in own])
-            p = sigmoid(self._logits(x, lengths)[0])
-            for row, (k, lo, f) in zip(p, own):
-                # In an overlap each stretch decides the half that is nearer to its middle.
-                skip = OVERLAP // 2 if lo else 0
-                stop = len(f) - (OVERLAP // 2 if lo + len(f) < len(pages[k]) else 0)
-                out[k][lo + skip : lo + stop] = row[skip:stop]
+        order = sorted((k for k, f in enumerate(pages) if len(f)), key=lambda k: len(pages[k]))
+        while order:
+            own = order[:TOGETHER]
+            while len(own) > 1 and len(own) * len(pages[own[-1]]) > BLOCKS_TOGETHER:
+                own.pop()
+            order = order[len(own) :]
+            x, lengths = padded([pages[k] for k in own])
+            for row, k in zip(sigmoid(self._logits(x, lengths)[0]), own):
+                out[k] = row[: len(pages[k])]
         return out
 
 

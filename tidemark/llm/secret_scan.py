@@ -3,7 +3,8 @@
 Three kinds are found by patterns: assignments, access identifiers and long hex strings. They stand on their own. Weak
 candidates do not: a long mixed string may be a secret, a URL may be an endpoint. Their parts are interval-joined with
 identifiers inside a scope of ``SCOPE`` characters; a weak secret is reported where an identifier lies in its scope, a weak
-endpoint where both an identifier and a secret do.
+endpoint where both an identifier and a secret do, a weak identifier, in a column of its own, where a secret of either strength
+does.
 
 Positions come from splitting a text at the matches of a pattern: the lengths of the gaps and of the matches add up.
 """
@@ -73,11 +74,13 @@ def _linked(found: DataFrame) -> DataFrame:
     apart = lambda s: ~F.exists(known, lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"]))
     parts = {
         "id": F.concat(_or_none("access"), _or_none("weak_id")),
+        "weak_id": _or_none("weak_id"),
         "secret": F.filter(_or_none("weak_secret"), apart),
         "strong": F.concat(_or_none("assign"), _or_none("hex")),
         "endpoint": F.filter(_or_none("weak_endpoint"), apart),
     }
-    some = found.where("(access is not null or weak_id is not null) and (weak_secret is not null or weak_endpoint is not null)")
+    weak = "weak_secret is not null or weak_endpoint is not null"
+    some = found.where(f"(access is not null and ({weak})) or (weak_id is not null and ({weak} or assign is not null or hex is not null))")
     rows = some.select("doc_id", "digest", F.explode(F.concat(*[_named(s, k, 0) for k, s in parts.items()])).alias("s"))
     rows = stage(rows.select("doc_id", "digest", "s.*").distinct(), "parts")
     # A part meets those that begin in its own scope cell or a neighbouring one.
@@ -93,15 +96,17 @@ def _linked(found: DataFrame) -> DataFrame:
     ids = spread.where("kind = 'id'")
     secrets = near(rows.where("kind = 'secret'"), ids)
     ends = near(near(rows.where("kind = 'endpoint'"), ids), spread.where("kind = 'secret' or kind = 'strong'"))
-    both = secrets.union(ends).drop("cell").withColumn("rank", F.when(F.col("kind") == "secret", 3).otherwise(4))
+    named = near(rows.where("kind = 'weak_id'"), spread.where("kind = 'secret' or kind = 'strong'"))
+    rank = F.when(F.col("kind") == "secret", 3).when(F.col("kind") == "endpoint", 4).otherwise(5)
+    both = secrets.union(ends).union(named).drop("cell").withColumn("rank", rank)
     return both.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "rank", "kind", "stop")).alias("added"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added for every row; a NULL text is empty.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, linked_ids for every row; a NULL text is empty.
 
     ``spans`` lists kind:start:end of base spans and of linked weak ones (kinds ``secret`` and ``endpoint``) by start, then
-    kind. Repeated rows give the same result each. Other columns are ignored; an empty table gives no rows.
+    kind; ``linked_ids`` lists the weak identifiers that have a secret in scope, as id:start:end. Repeated rows give the same result each. Other columns are ignored; an empty table gives no rows.
     """
     text = empty_text(text_col)
     # The text is read once; what is written is one narrow row a document.
@@ -126,11 +131,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "left",
     )
     base = F.flatten(F.array(*[_named(_or_none(k), k, i) for i, k in enumerate(KINDS)]))
-    more = F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>"))
+    linked = F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>"))
+    more = F.filter(linked, lambda s: s["rank"] < 5)
+    ids = F.transform(F.filter(linked, lambda s: s["rank"] == 5), lambda s: s.withField("kind", F.lit("id")))
     return rows.select(
         F.col("f.doc_id").alias("doc_id"),
         *[F.size(_or_none(k)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.concat(base, more)).alias("spans"),
         F.size(more).cast("long").alias("n_added"),
+        _joined(ids).alias("linked_ids"),
     )
