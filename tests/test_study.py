@@ -212,6 +212,32 @@ def test_recordings(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_recording_faults_name_every_lost_cell(spark, tmp_path):
+    def put(name, content):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(content)
+
+    put("p/p_Math.txt", "ECG,EDA,RR\n1,2,3\n4, ,x7\n\n5,inf\n" + "".join(f"{i},1,2\n" for i in range(2000)) + "nan,1,2")
+    put("p/p_Bad.txt", "ECG, time\n1,2\n")
+    put("q/q_Good.txt", "RR,ECG,EDA\n1,2,3")
+    put("q/readme.txt", "ECG,EDA,RR\nx,y,z")
+    put("q/q_Empty.txt", "")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        faults = readers.recording_faults(spark, str(tmp_path)).collect()
+        samples, rejected = readers.read_recordings(spark, str(tmp_path))
+        lost = sum(r[c] is None for r in samples.collect() for c in ("ECG", "EDA", "RR"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.user_id, r.task, r.line, r.column, r.value or "", r.reason) for r in faults) == [
+        ("p", "Bad", 0, "EDA", "", "missing column"), ("p", "Bad", 0, "RR", "", "missing column"), ("p", "Math", 2, "EDA", " ", "empty cell"),
+        ("p", "Math", 2, "RR", "x7", "no number"), ("p", "Math", 3, "EDA", "inf", "not finite"), ("p", "Math", 3, "RR", "", "missing cell"),
+        ("p", "Math", 2004, "ECG", "nan", "not finite")]
+    assert lost == 5 and rejected.count() == 1
+
+
 def test_manifest_labels_features_json(spark, tmp_path):
     (tmp_path / "m.csv").write_text("video_file,label,role,user_id\na.mp4,low,train,u1\n")
     (tmp_path / "bad.csv").write_text("video_file,label\na.mp4,low\n")

@@ -79,12 +79,11 @@ def find_recordings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_recordings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, rejected files) of all text recordings below ``root``.
+def _recording_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, headers) of all text recordings below ``root``; lines carry their number in the file and what stands before it.
 
-    The row order inside a file is the time axis, so it is made explicit: lines are numbered inside
-    each file block and the sizes of the earlier blocks are added. A file of any size is read by as many
-    tasks as it has blocks. A file without the three signal columns is rejected and the rest goes on.
+    Lines are numbered inside each file block and the sizes of the earlier blocks are added. A file of any size is read by as
+    many tasks as it has blocks. Blank lines do not count.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -101,31 +100,81 @@ def read_recordings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     numbered = with_index(lines, ["path"], ["block", "_at"], F.col("block"), "_line")
     header = numbered.where("_line = 0").select("path", F.split("line", r"\s*,\s*").alias("names"))
     place = {s: F.array_position("names", s) for s in schemas.PHYSIO_SIGNALS}
-    checked = header.select(
+    headers = header.select(
         "path",
         *[p.alias(f"_p_{s}") for s, p in place.items()],
         F.array_join("names", ",").alias("found"),
     )
-    complete = (F.col("_p_ECG") > 0) & (F.col("_p_EDA") > 0) & (F.col("_p_RR") > 0)
+    return numbered, headers
+
+
+def _is_complete() -> Column:
+    return (F.col("_p_ECG") > 0) & (F.col("_p_EDA") > 0) & (F.col("_p_RR") > 0)
+
+
+def _cell(signal: str) -> Column:
+    return F.get(F.split("line", ","), (F.col(f"_p_{signal}") - 1).cast("int"))
+
+
+def _is_recording() -> Column:
+    return F.col("task").isNotNull() & ~F.startswith("user_id", F.lit("."))
+
+
+def read_recordings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejected files) of all text recordings below ``root``.
+
+    The row order inside a file is the time axis, so it is made explicit. A file without the three signal columns is
+    rejected and the rest goes on; a cell that holds no finite number is NULL, and ``recording_faults`` says why.
+    """
+    numbered, headers = _recording_lines(spark, root)
     participant, task = _recording(F.col("path"))
-    cells = F.split("line", ",")
     samples = (
-        key_join(numbered.where("_line > 0"), checked.where(complete), ["path"])
+        key_join(numbered.where("_line > 0"), headers.where(_is_complete()), ["path"])
         .select(
             participant.alias("user_id"),
             task.alias("task"),
             (F.col("_line") - 1).alias("sample_idx"),
-            *[
-                finite(F.get(cells, (F.col(f"_p_{s}") - 1).cast("int")).try_cast("double")).alias(s)
-                for s in schemas.PHYSIO_SIGNALS
-            ],
+            *[finite(_cell(s).try_cast("double")).alias(s) for s in schemas.PHYSIO_SIGNALS],
         )
-        .where(F.col("task").isNotNull() & ~F.startswith("user_id", F.lit(".")))
+        .where(_is_recording())
     )
-    rejected = checked.where(~complete).select("path", "found")
+    rejected = headers.where(~_is_complete()).select("path", "found")
     return samples, rejected
 
 
+def recording_faults(spark: SparkSession, root: str) -> DataFrame:
+    """Why cells of recordings are NULL, and why files are rejected: path, user_id, task, line, column, value, reason.
+
+    ``line`` counts the lines that are not blank, the header being line 0. Reasons are ``missing column`` (of a file),
+    ``missing cell``, ``empty cell``, ``no number`` and ``not finite``. Files that are no recordings are left out.
+    """
+    numbered, headers = _recording_lines(spark, root)
+    participant, task = _recording(F.col("path"))
+
+    def fault(signal: str) -> Column:
+        cell = _cell(signal)
+        number = cell.try_cast("double")
+        reason = (
+            F.when(cell.isNull(), "missing cell")
+            .when(F.length(F.trim(cell)) == 0, "empty cell")
+            .when(number.isNull(), "no number")
+            .when(finite(number).isNull(), "not finite")
+        )
+        return F.struct(F.lit(signal).alias("column"), cell.alias("value"), reason.alias("reason"))
+
+    def absent(signal: str) -> Column:
+        reason = F.when(F.coalesce(F.col(f"_p_{signal}"), F.lit(0)) == 0, "missing column")
+        return F.struct(F.lit(signal).alias("column"), F.lit(None).cast("string").alias("value"), reason.alias("reason"))
+
+    cells = key_join(numbered.where("_line > 0"), headers.where(_is_complete()), ["path"])
+    found = cells.select("path", F.col("_line").alias("line"), F.explode(F.array(*[fault(s) for s in schemas.PHYSIO_SIGNALS])).alias("f"))
+    files = headers.where(~_is_complete()).select(
+        "path", F.lit(0).cast("bigint").alias("line"), F.explode(F.array(*[absent(s) for s in schemas.PHYSIO_SIGNALS])).alias("f")
+    )
+    both = found.unionByName(files).where(F.col("f.reason").isNotNull())
+    return both.select("path", participant.alias("user_id"), task.alias("task"), "line", "f.*").where(_is_recording())
+
+
 def read_binary_labels(spark: SparkSession, path: str) -> DataFrame:
     df = require_columns(read_csv(spark, path), ["subject/task", "binary-stress"], "labels")
     return split_labels(df.withColumnsRenamed({"subject/task": "subject_task", "binary-stress": "binary_stress"})).withColumn(
