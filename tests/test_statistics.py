@@ -62,6 +62,30 @@ def test_narrowed_quantiles(spark, monkeypatch, kind):
     assert quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]).first()[0] is None
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "two", "skewed"])
+def test_brackets_of_keys_are_narrowed(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.04)
+    rng = random.Random(11)
+    draw = {
+        "spread": lambda: rng.gauss(0, 1),
+        "ties": lambda: rng.choice([0.0, 1.0, rng.random() * 1e-3]),
+        "two": lambda: rng.choice([1.0, 2.0]),
+        "skewed": lambda: 10.0 ** rng.uniform(-9, 9),
+    }[kind]
+    rows = [("hot", i, draw(), rng.random()) for i in range(5000)] + [("warm", i, draw(), None) for i in range(300)]
+    rows += [("few", i, draw(), 1.0) for i in range(3)] + [("none", 0, None, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, i int, x double, y double").repartition(5)
+    got = {r.k: r for r in quantiles.grouped_medians(df, ["k"], ["x", "y"], inside=20).collect()}
+    for k in ("hot", "warm", "few"):
+        for j, c in ((2, "x"), (3, "y")):
+            own = [r[j] for r in rows if r[0] == k and r[j] is not None]
+            assert got[k][c] == (pytest.approx(float(np.median(own)), abs=1e-12) if own else None)
+    assert got["none"].x is None and got["none"].y is None
+    for r in quantiles._key_brackets(df, ["k"], ["x"], 20).where("_b_x is not null").collect():
+        assert sum(r._b_x[0] < v < r._b_x[1] for k, _, v, _ in rows if k == r.k and v is not None) <= 20
+
+
 def test_ranks_spearman_auc(spark):
     rng = random.Random(4)
     rows = [(round(rng.gauss(0, 3), 1), rng.choice([-1.0, 0.0, 0.25, 0.5, 1.0, 8.0]), int(rng.random() < 0.4)) for _ in range(400)]

@@ -6,7 +6,8 @@ which cannot move the quantile, and the exact aggregate only sees the distinct v
 
 Over a whole table the bracket is narrowed by further sketches of the rows inside it until at most
 ``INSIDE`` rows are left between its ends, so the state of the last step does not grow with the table.
-Per key (``grouped_medians``) there is one sketch, and the bracket holds a fixed share of a key's rows.
+Per key (``grouped_medians``) the brackets are a written table of one row a key; those of keys with many rows are
+narrowed, round by round, by sketches of the rows inside, until no key has more than ``INSIDE`` rows between its ends.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import finite
 from tidemark.operators.sequence import key_join
+from tidemark.sources.writers import staged
 
 ACCURACY = 20000
 # Twice the rank error the sketch guarantees.
 MARGIN = 2.0 / ACCURACY
 SALTS = 16
+# Steps of the sketch that narrows a key's bracket.
+GRID = 256
 # Rows that may lie strictly between the ends of a bracket when the exact aggregate runs.
 INSIDE = 10_000
 
@@ -98,18 +102,65 @@ def fitted_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: 0.0 if exact[f"{c}_q0"] is None else exact[f"{c}_q0"] for c in columns}
 
 
-def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _rows_in(df: DataFrame, keys: Sequence[str], columns: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """Rows with the bounds of their key, a hot key spread over several tasks."""
+    spread = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    return key_join(df.withColumn("_salt", salt).select(*keys, *columns, "_salt"), spread, [*keys, "_salt"])
+
+
+def _narrowed(df: DataFrame, keys: Sequence[str], column: str, bounds: DataFrame, inside: int) -> DataFrame:
+    """Narrower brackets of the keys of ``bounds`` (``_lo``, ``_hi``, ``_n``) that still have more rows inside."""
+    c = finite(column)
+    within = (c > F.col("_lo")) & (c < F.col("_hi"))
+    grid = [i / GRID for i in range(GRID + 1)]
+    found = _rows_in(df, keys, [column], bounds).groupBy(*keys, "_lo", "_hi", "_n").agg(
+        F.count(F.when(c <= F.col("_lo"), 1)).alias("_below"),
+        F.count(F.when(within, 1)).alias("_m"),
+        F.percentile_approx(F.when(within, c), grid, ACCURACY).alias("_grid"),
+    )
+    rank = 0.5 * (F.col("_n") - 1)
+    low = (F.floor(rank) - F.col("_below")) / F.col("_m") - MARGIN
+    high = (F.ceil(rank) + 1 - F.col("_below")) / F.col("_m") + MARGIN
+    at = lambda share: F.get("_grid", share.cast("int"))
+    lo = F.when(low > 0, at(F.floor(low * GRID))).otherwise(F.col("_lo"))
+    hi = F.when(high < 1, at(F.ceil(high * GRID))).otherwise(F.col("_hi"))
+    wide = F.col("_m") > inside
+    new = found.select(*keys, "_n", F.when(wide, lo).otherwise(F.col("_lo")).alias("_lo"), F.when(wide, hi).otherwise(F.col("_hi")).alias("_hi"),
+                       (wide & ((lo > F.col("_lo")) | (hi < F.col("_hi")))).alias("_more"))
+    return staged(new, "brackets")
+
+
+def _key_brackets(df: DataFrame, keys: Sequence[str], columns: Sequence[str], inside: int) -> DataFrame:
+    """Per key and column ``_b_<column>``, the ends of a bracket of the median with at most ``inside`` rows between them."""
+    counts = [F.count(finite(c)).alias(f"_n_{c}") for c in columns]
+    bounds = staged(df.groupBy(*keys).agg(*counts, *[_bracket(finite(c), 0.5).alias(f"_b_{c}") for c in columns]), "brackets")
+    most = bounds.agg(*[F.max(f"_n_{c}").alias(c) for c in columns]).first()
+    for c in columns:
+        # The sketch's guarantee bounds the rows inside; they are counted only where it does not suffice.
+        if 3 * MARGIN * (most[c] or 0) <= inside:
+            continue
+        ends = [F.get(f"_b_{c}", i).alias(n) for i, n in ((0, "_lo"), (1, "_hi"))]
+        open_ = bounds.where(3 * MARGIN * F.col(f"_n_{c}") > inside).select(*keys, F.col(f"_n_{c}").alias("_n"), *ends)
+        done = None
+        while open_ is not None:
+            moved = _narrowed(df, keys, c, open_, inside)
+            ready = moved.where("not _more").select(*keys, F.array("_lo", "_hi").alias("_narrow"))
+            done = ready if done is None else done.unionByName(ready)
+            open_ = moved.where("_more").drop("_more") if moved.where("_more").count() else None
+        bounds = key_join(bounds, done, keys, "left").withColumn(f"_b_{c}", F.coalesce("_narrow", f"_b_{c}")).drop("_narrow")
+    return bounds
+
+
+def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], inside: int = INSIDE) -> DataFrame:
     """Exact median of every column per key, safe for a key that holds a large share of the rows.
 
     The rows are salted before they meet their bracket, so a hot key is spread over several tasks; the
-    partial buffers of the final aggregate hold bracketed values only. The salt is taken from all columns
-    of ``df``: leave columns in that tell rows apart (a time, a task).
+    partial buffers of the final aggregate hold bracketed values only, at most ``inside`` a key and column besides
+    equal ones. The salt is taken from all columns of ``df``: leave columns in that tell rows apart (a time, a task).
+    A key with a NULL in it has no median.
     """
-    bounds = df.groupBy(*keys).agg(*[_bracket(finite(c), 0.5).alias(f"_b_{c}") for c in columns])
-    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
-    rows = df.withColumn("_salt", salt).select(*keys, *columns, "_salt")
-    joined = key_join(rows, bounds, [*keys, "_salt"])
+    joined = _rows_in(df, keys, columns, _key_brackets(df, keys, columns, inside))
     return joined.groupBy(*keys).agg(
         *[F.percentile(_clamped(finite(c), F.col(f"_b_{c}")), 0.5).alias(c) for c in columns]
     )
