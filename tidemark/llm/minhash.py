@@ -232,7 +232,9 @@ def _shared(still: DataFrame, texts: DataFrame) -> DataFrame:
                 parts = np.array([_by_hash(s) - _by_hash(o) for s, o in zip(shingle_sets(texts[lo:hi]), own)])
                 yield pd.DataFrame({"rep": batch["row"].iloc[lo:hi].to_numpy()} | {c: parts[:, i] for i, c in enumerate(PART)})
 
-    opened = texts.join(still.select(F.col("rep").alias("row")).distinct(), "row", "left_semi")
+    # Written, so that their size is known and texts are read past a small table; and read twice.
+    rows = stage(still.select(F.col("rep").alias("row")).distinct(), "open-rows")
+    opened = stage(texts.join(rows, "row", "left_semi"), "opened")
     shingles = opened.mapInPandas(split, "rep long, shingle long").groupBy("shingle")
     alone = shingles.agg(F.count("*").alias("docs"), F.min("rep").alias("row")).where("docs = 1")
     own = alone.groupBy("row").agg(F.collect_list("shingle").alias("own"))
