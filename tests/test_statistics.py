@@ -239,3 +239,20 @@ def test_merged_sketches_estimate_quantiles(spark):
     assert (r.q0, r.q3) == (values[0], values[-1])
     hours = {x.hour: x for x in sketches.estimates(stored, [0.5], ["hour"]).collect()}
     assert 7 not in hours and hours[8].q0 == 2.0 and sketches.merged(stored.limit(0), ["hour"]).collect() == []
+
+
+def test_baseline_joins_without_broadcast(spark, tmp_path):
+    # Joins of large tables: neither side is broadcast, both are dealt by user.
+    rows = [(u, t, 3.0 * w, float(u + w)) for u in range(40) for t in (("Relax", "Math") if u % 2 else ("Math", "Speaking")) for w in range(6)]
+    spark.createDataFrame(rows, "user_id bigint, task string, t_start_s double, x double").write.parquet(str(tmp_path / "w"))
+    df = spark.read.parquet(str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = baseline.add_centered_and_delta(df, baseline.user_baseline(df, ["x"]), ["x"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(out) == len(rows)
+    # Calm users: the first four windows of Relax; the others: all their windows.
+    assert all(r.x_centered == pytest.approx(r.x - r.user_id - (1.5 if r.user_id % 2 else 2.5)) for r in out)
+    assert all(r.x_delta == (0.0 if r.t_start_s == 0 else 1.0) for r in out)
