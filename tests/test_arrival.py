@@ -4,6 +4,7 @@ import random
 import sys
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -161,3 +162,116 @@ def test_live_chain_equals_batch(spark, tmp_path):
             want[name[0], round(at * 1000)] = (y, smooth)
     assert got.keys() == want.keys() and len(want) > 60
     assert all((got[k].raw_cli, got[k].smoothed_cli) == pytest.approx(v) for k, v in want.items())
+
+
+class Store:
+    """State of one key in memory, as a handle gives it; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.entries, self.timers = 0, {}, {}, set()
+
+    def getValueState(self, name, schema):
+        return Value(self, name)
+
+    def getMapState(self, name, keys, values):
+        return Entries(self)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class Value:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name)
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.store.values
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = value
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.values.pop(self.name, None)
+
+
+class Entries:
+    def __init__(self, store):
+        self.store = store
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return key in self.store.entries
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.store.entries[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.store.entries[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.store.entries[key]
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.entries.clear()
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def run_one_key(monkeypatch, rows, inline, batches, gap=30.0):
+    """Closing rows of one key, the calls to its state and the store, with a watermark a second behind every batch."""
+    made = {}
+
+    def transform(self, statefulProcessor, **_):
+        made["processor"] = statefulProcessor
+
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithStateInPandas", transform)
+    monkeypatch.setattr(arrival, "INLINE", inline, raising=False)
+    arrival.session_ends(rows, lateness_s=5.0, gap_s=gap, slot_s=2.0)
+    processor, store, out = made["processor"], Store(), []
+    processor.init(store)
+    for batch in batches:
+        out += list(processor.handleInputRows(("k",), iter([batch]), Now(0)))
+        mark = int((batch["received"].max() - 1 + arrival.SHIFT_S) * 1000)
+        while due := sorted(t for t in store.timers if t <= mark):
+            for part in processor.handleExpiredTimer(("k",), Now(mark), Now(due[0])):
+                out += [part]
+            store.timers.remove(due[0])
+    return [tuple(r) for part in out for r in part[["started_s", "ended_s", "n_rows"]].to_numpy().tolist()], store
+
+
+@pytest.mark.parametrize("inline", [0, 7, 1000])
+def test_waiting_rows_take_few_calls_to_the_state(spark, monkeypatch, inline):
+    rng = random.Random(3)
+    rows = [("k", t, t + rng.random() * 4) for t in [float(i // 40 * 100 + i % 40) for i in range(400)]]
+    frame = pd.DataFrame(sorted(rows, key=lambda r: r[2]), columns=["session_id", "at", "received"])
+    batches = [frame.iloc[i : i + 40].reset_index(drop=True) for i in range(0, 400, 40)]
+    batches.append(pd.DataFrame([("k", 5000.0, 5000.0)], columns=frame.columns))
+    batches.append(pd.DataFrame([("k", None, 9000.0)], columns=frame.columns).astype({"at": float}))
+    stream = spark.createDataFrame([], "session_id string, at double, received double")
+    got, store = run_one_key(monkeypatch, stream, inline, batches)
+    assert got == [(100.0 * i, 100.0 * i + 39, 40) for i in range(10)]
+    assert not store.entries
+    if inline == 1000:
+        # About 200 slots in 12 batches, one timer and one value a batch.
+        assert store.calls < 12 * 20

@@ -14,11 +14,12 @@ that takes to be certain. The processor behind then emits its last rows and clea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import pickle
+from collections.abc import Iterator, Sequence
+from typing import Any
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -36,16 +37,71 @@ def clock(received: str) -> Column:
     return F.timestamp_micros(((F.col(received) + SHIFT_S) * 1_000_000).cast("bigint"))
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+#: Waiting rows of a key that stand beside its place; of more rows every slot has an entry of its own.
+INLINE = 256
+#: Rows of a data frame that is handed to the engine.
+OUT = 1024
 
 
-def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+class Kept:
+    """A value state, read once and written once in a call of a handler; its content is one packed value."""
+
+    SCHEMA = "data binary"
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str) -> None:
+        self.state = handle.getValueState(name, self.SCHEMA)
+        self.read = self.changed = False
+
+    def get(self) -> Any:
+        if not self.read:
+            found = self.state.get()
+            self.stored = found is not None
+            self.value = pickle.loads(found[0]) if self.stored else None
+            self.read = True
+        return self.value
+
+    def set(self, value: Any) -> None:
+        """A value, or None for no state."""
+        self.get()
+        self.value, self.changed = value, True
+
+    def flush(self) -> None:
+        if self.changed and self.value is not None:
+            self.state.update((pickle.dumps(self.value, pickle.HIGHEST_PROTOCOL),))
+        elif self.changed and self.stored:
+            self.state.clear()
+        self.read = self.changed = False
+
+
+class Rows(list):
+    """Rows as tuples with the names of their columns: what a processor gets instead of a small data frame."""
+
+    def __init__(self, rows: Sequence[tuple], columns: Sequence[str]) -> None:
+        super().__init__(rows)
+        self.columns = columns
+
+    def tuples(self, columns: Sequence[str]) -> Iterator[tuple]:
+        places = [self.columns.index(c) for c in columns]
+        return (tuple(row[i] for i in places) for row in self)
+
+
+def tuples(rows: Rows | pd.DataFrame, columns: Sequence[str]) -> Iterator[tuple]:
+    return rows.tuples(columns) if isinstance(rows, Rows) else zip(*(rows[c].tolist() for c in columns))
+
+
+def gathered(parts: Iterator[list[dict] | pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come in lists, as data frames of about ``OUT`` rows; data frames as they are."""
+    waiting: list[dict] = []
+    for part in parts:
+        if isinstance(part, pd.DataFrame):
+            yield part
+            continue
+        waiting += part
+        if len(waiting) >= OUT:
+            yield pd.DataFrame(waiting)
+            waiting = []
+    if waiting:
+        yield pd.DataFrame(waiting)
 
 
 class InOrder(StatefulProcessor):
@@ -53,82 +109,136 @@ class InOrder(StatefulProcessor):
 
     ``behind`` is a processor without timers of its own. If it has ``ended(key, at, late)``, that is called at the end of a
     session with the time of its last row and, when the key falls silent, the number of late rows since the last such call;
-    a key that had late rows only is reported with ``at`` None.
+    a key that had late rows only is reported with ``at`` None. One with ``flush`` gets ``Rows``, may give lists of rows
+    besides data frames, and writes its state when ``flush`` is called, once all slots that are due have been handed over.
+
+    A call to the state costs more than the work on a slot, so a key has one timer, for what is due next, and few waiting rows
+    (``INLINE``) are read and written together with its place.
     """
 
     def __init__(
-        self, behind: StatefulProcessor, at: str, received: str, lateness_s: float, slot_s: float | None = None, gap_s: float | None = None
+        self,
+        behind: StatefulProcessor,
+        at: str,
+        received: str,
+        columns: Sequence[str],
+        lateness_s: float,
+        slot_s: float | None = None,
+        gap_s: float | None = None,
     ) -> None:
-        self.behind, self.at, self.received = behind, at, received
+        self.behind, self.at, self.received, self.columns = behind, at, received, list(columns)
         self.lateness_s, self.gap_s = lateness_s, gap_s
         self.slot_s = slot_s or max(lateness_s / 2, 1.0)
+        self.plain = not hasattr(behind, "flush")
+        if not self.plain:
+            behind.flushes = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slot bigint", "rows binary")
-        self.place = handle.getValueState("place", "at double, received double, late bigint")
+        self.place = Kept(handle, "place")
         self.behind.init(handle)
 
-    def _place(self) -> tuple[float | None, float | None, int]:
-        return tuple(self.place.get()) if self.place.exists() else (None, None, 0)
+    def _place(self) -> tuple[float | None, float | None, int, int | None, dict[int, list[tuple] | None]]:
+        """Last time handed over, newest receipt, late rows, the timer, and the waiting slots (None: in the map state)."""
+        return self.place.get() or (None, None, 0, None, {})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return iter(())
-        last, received, late = self._place()
+        last, received, late, timer, held = self._place()
+        place = self.columns.index(self.at)
         for batch in rows:
-            at, got = batch[self.at].to_numpy(float), batch[self.received].to_numpy(float)
-            good = got - at <= self.lateness_s
-            late += int(len(batch) - good.sum())
-            newest = got[np.isfinite(got)].max(initial=-np.inf if received is None else received)
-            received = float(newest) if np.isfinite(newest) else None
-            kept = batch[good].drop(columns=CLOCK, errors="ignore")
-            for slot, part in kept.groupby(np.floor(at[good] / self.slot_s).astype(np.int64), sort=True):
-                self._hold(int(slot), part)
-        self.place.update((last, received, late))
-        if self.gap_s is not None and received is not None:
-            self.handle.registerTimer(self._silence_ms(received))
+            new: dict[int, list[tuple]] = {}
+            times = zip(batch[self.at].astype(float).tolist(), batch[self.received].astype(float).tolist())
+            for (at, got), row in zip(times, zip(*(batch[c].tolist() for c in self.columns))):
+                if math.isfinite(got) and (received is None or got > received):
+                    received = got
+                if not (math.isfinite(at) and got - at <= self.lateness_s):
+                    late += 1
+                else:
+                    new.setdefault(math.floor(at / self.slot_s), []).append((*row[:place], at, *row[place + 1 :]))
+            self._hold(held, new)
+        timer = self._next_timer(held, received, timer)
+        self.place.set((last, received, late, timer, held))
+        self.place.flush()
         return iter(())
 
-    def _hold(self, slot: int, part: pd.DataFrame) -> None:
-        if self.waiting.containsKey((slot,)):
-            part = pd.concat([_unpacked(self.waiting.getValue((slot,))[0]), part], ignore_index=True)
-        else:
-            self.handle.registerTimer(self._due_ms(slot))
-        self.waiting.updateValue((slot,), (_packed(part),))
+    def _hold(self, held: dict[int, list[tuple] | None], new: dict[int, list[tuple]]) -> None:
+        for slot, part in new.items():
+            if held.get(slot, part) is None:
+                self._store(slot, self._stored(slot) + part)
+            else:
+                held[slot] = [*held.get(slot, ()), *part]
+        if sum(len(part) for part in held.values() if part) > INLINE:
+            for slot, part in held.items():
+                if part is not None:
+                    self._store(slot, part)
+                    held[slot] = None
+
+    def _stored(self, slot: int) -> list[tuple]:
+        return pickle.loads(self.waiting.getValue((slot,))[0])
+
+    def _store(self, slot: int, part: list[tuple]) -> None:
+        self.waiting.updateValue((slot,), (pickle.dumps(part, pickle.HIGHEST_PROTOCOL),))
 
     def _due_ms(self, slot: int) -> int:
-        return int(np.ceil(((slot + 1) * self.slot_s + self.lateness_s + SHIFT_S) * 1000))
+        return math.ceil(((slot + 1) * self.slot_s + self.lateness_s + SHIFT_S) * 1000)
 
     def _silence_ms(self, received: float) -> int:
         """When a later row on time is more than the gap behind every row so far."""
-        return int(np.ceil((received + self.lateness_s + self.gap_s + SHIFT_S) * 1000)) + 1
+        return math.ceil((received + self.lateness_s + self.gap_s + SHIFT_S) * 1000) + 1
+
+    def _next_timer(self, held: dict, received: float | None, timer: int | None) -> int | None:
+        """The earliest timer of the key, set here if none is early enough; a later one then fires for nothing."""
+        wanted = [self._due_ms(min(held))] if held else []
+        if not held and self.gap_s is not None and received is not None:
+            wanted.append(self._silence_ms(received))
+        if wanted and (timer is None or wanted[0] < timer):
+            self.handle.registerTimer(wanted[0])
+            return wanted[0]
+        return timer
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = int(np.floor((now / 1000 - SHIFT_S - self.lateness_s) / self.slot_s + 1e-6)) - 1
-        if self._due_ms(slot) == now and self.waiting.containsKey((slot,)):
-            rows = _unpacked(self.waiting.getValue((slot,))[0]).sort_values(self.at, kind="stable", ignore_index=True)
-            self.waiting.removeKey((slot,))
-            last, received, late = self._place()
-            times = rows[self.at].to_numpy(float)
-            before = np.concatenate([[times[0] if last is None else last], times[:-1]])
-            cuts = np.flatnonzero(times - before > (np.inf if self.gap_s is None else self.gap_s)).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
-                if lo in cuts:
-                    yield from self._ended(key, float(before[lo]), 0)
-                if lo < hi:
-                    yield from self.behind.handleInputRows(key, iter([rows.iloc[lo:hi]]), timerValues) or ()
-            self.place.update((float(times[-1]), received, late))
-        if self.gap_s is not None:
-            last, received, late = self._place()
-            if received is not None and self._silence_ms(received) <= now:
-                if last is not None or late:
-                    yield from self._ended(key, last, late)
-                self.place.clear()
-                self.waiting.clear()
-
-    def _ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if self._place()[3] is None or fired < self._place()[3]:
+            self.place.flush()
+            return
+        yield from gathered(self._expired(key, timerValues, max(fired, timerValues.getCurrentWatermarkInMs())))
+        if not self.plain:
+            self.behind.flush()
+        self.place.flush()
+
+    def _expired(self, key, timerValues: TimerValues, now: int) -> Iterator[list[dict] | pd.DataFrame]:
+        last, received, late, timer, held = self._place()
+        at = self.columns.index(self.at)
+        for slot in sorted(s for s in held if self._due_ms(s) <= now):
+            rows = held.pop(slot)
+            if rows is None:
+                rows = self._stored(slot)
+                self.waiting.removeKey((slot,))
+            rows.sort(key=lambda row: row[at])
+            lo = 0
+            for hi, row in enumerate(rows):
+                if self.gap_s is not None and last is not None and row[at] - last > self.gap_s:
+                    if lo < hi:
+                        yield from self._handed(key, rows[lo:hi], timerValues)
+                    yield from self._ended(key, last, 0)
+                    lo = hi
+                last = row[at]
+            yield from self._handed(key, rows[lo:], timerValues)
+        if self.gap_s is not None and received is not None and not held and self._silence_ms(received) <= now:
+            if last is not None or late:
+                yield from self._ended(key, last, late)
+            self.place.set(None)
+        else:
+            self.place.set((last, received, late, self._next_timer(held, received, None), held))
+
+    def _handed(self, key, rows: list[tuple], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
+        part = pd.DataFrame(rows, columns=self.columns) if self.plain else Rows(rows, self.columns)
+        return self.behind.handleInputRows(key, iter([part]), timerValues) or ()
+
+    def _ended(self, key, at: float | None, late: int) -> Iterator[list[dict] | pd.DataFrame]:
         if hasattr(self.behind, "ended"):
             yield from self.behind.ended(key, at, late) or ()
 
@@ -158,7 +268,7 @@ def in_order(
     return (
         clocked.groupBy(key)
         .transformWithStateInPandas(
-            statefulProcessor=InOrder(behind, at, received, lateness_s, slot_s, gap_s),
+            statefulProcessor=InOrder(behind, at, received, stream.columns, lateness_s, slot_s, gap_s),
             outputStructType=output,
             outputMode="Append",
             timeMode="EventTime",
@@ -172,31 +282,40 @@ SESSION_ROWS = "session_id string, kind string, started_s double, ended_s double
 class SessionProcessor(StatefulProcessor):
     """One closing row a session: its first and last time and its rows; a row of kind ``late`` counts late ones of a key."""
 
+    flushes = True
+
     def __init__(self, at: str = "at") -> None:
         self.at = at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.session = handle.getValueState("session", "started double, n_rows bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        started, n = self.session.get() if self.session.exists() else (None, 0)
-        for batch in rows:
-            started = float(batch[self.at].iloc[0]) if started is None else started
-            n += len(batch)
-        self.session.update((started, n))
+        self.session = Kept(handle, "session")
+
+    def handleInputRows(self, key, rows: Iterator[Rows | pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        started, n = self.session.get() or (None, 0)
+        for part in rows:
+            started = next(tuples(part, [self.at]))[0] if started is None else started
+            n += len(part)
+        self.session.set((started, n))
+        if self.flushes:
+            self.flush()
         return iter(())
 
-    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+    def ended(self, key, at: float | None, late: int) -> Iterator[list[dict]]:
         out = []
-        if self.session.exists():
+        if self.session.get() is not None:
             started, n = self.session.get()
             out.append((key[0], "session", started, at, n, 0))
-            self.session.clear()
+            self.session.set(None)
         if late:
             out.append((key[0], "late", None, None, 0, late))
+        if self.flushes:
+            self.flush()
         if out:
             columns = [f.split()[0] for f in SESSION_ROWS.split(", ")]
-            yield pd.DataFrame(out, columns=columns).astype({"started_s": float, "ended_s": float})
+            yield [dict(zip(columns, row)) for row in out]
+
+    def flush(self) -> None:
+        self.session.flush()
 
     def close(self) -> None:
         pass

@@ -195,7 +195,8 @@ class ScoreProcessor(StatefulProcessor):
         self.state = handle.getValueState("session", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        stored = json.loads(self.state.get()[0]) if self.state.exists() else {"smoothed": self.start, "controller": {}}
+        found = self.state.get()
+        stored = json.loads(found[0]) if found is not None else {"smoothed": self.start, "controller": {}}
         smoothed, controller = stored["smoothed"], Controller(**stored["controller"])
         samples = pd.concat(rows, ignore_index=True).sort_values("timestamp_ms", kind="stable")
         out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,7 +19,7 @@ from tidemark.functions.numeric import finite
 from tidemark.operators.features import features_of_cut_windows, finished_features
 from tidemark.operators.windows import quality_gate
 from tidemark.schemas import require_columns
-from tidemark.streaming.arrival import CLOCK, clock
+from tidemark.streaming.arrival import CLOCK, Kept, Rows, clock, gathered, tuples
 
 FRAME_VALUES = [
     "ear_mean",
@@ -33,6 +34,7 @@ FRAME_VALUES = [
 ]
 FRAME_FIELDS = "at double, " + ", ".join(f"{c} double" for c in FRAME_VALUES) + ", valid boolean"
 CUT_SCHEMA = f"session_id string, kind string, emitted_at double, t_start_s double, t_end_s double, place bigint, {FRAME_FIELDS}"
+CUT_COLUMNS = [f.split()[0] for f in CUT_SCHEMA.split(", ")]
 
 
 class WindowBufferProcessor(StatefulProcessor):
@@ -46,46 +48,47 @@ class WindowBufferProcessor(StatefulProcessor):
     def __init__(self, config: FeatureConfig = FeatureConfig(), preview_s: float | None = None):
         self.config, self.preview_s = config, preview_s
 
+    flushes = True
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getListState("frames", FRAME_FIELDS)
-        self.clock = handle.getValueState("clock", "seen bigint, attempted double, previewed double")
+        self.state = Kept(handle, "buffer")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Rows | pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        return gathered(self._cuts(key[0], [f for part in rows for f in tuples(part, ["at", *FRAME_VALUES, "valid"])]))
+
+    def _cuts(self, session: str, new: list[tuple]) -> Iterator[list[dict]]:
         size = self.config.length
-        columns = ["at", *FRAME_VALUES, "valid"]
-        new = pd.concat(rows, ignore_index=True).sort_values("at", kind="stable")[columns]
-        seen, attempted, previewed = self.clock.get() if self.clock.exists() else (0, None, None)
-        buffer = deque(self.frames.get() if self.frames.exists() else [], maxlen=size)
-        for frame in new.itertuples(index=False, name=None):
-            buffer.append(frame)
+        new.sort(key=lambda f: math.inf if f[0] is None or f[0] != f[0] else f[0])
+        seen, attempted, previewed, held = self.state.get() or (0, None, None, ())
+        buffer = deque(held, maxlen=size)
+        for frame in new:
+            buffer.append(tuple(None if v is None or v != v else v for v in frame))
             seen += 1
             now = frame[0]
             if self.preview_s is not None and (previewed is None or now - previewed >= self.preview_s):
                 previewed = now
-                yield self._cut(key[0], "preview", now, seen, buffer, columns)
+                yield self._cut(session, "preview", now, seen, buffer)
             if len(buffer) == size and (attempted is None or now - attempted >= self.config.step_s):
                 attempted = now
-                yield self._cut(key[0], "window", now, seen, buffer, columns)
-        self.frames.put([tuple(None if pd.isna(v) else v for v in f) for f in buffer])
-        self.clock.update((seen, attempted, previewed))
+                yield self._cut(session, "window", now, seen, buffer)
+        self.state.set((seen, attempted, previewed, list(buffer)))
+        if self.flushes:
+            self.flush()
 
-    def _cut(self, session: str, kind: str, now: float, seen: int, buffer: deque, columns: list[str]) -> pd.DataFrame:
-        out = pd.DataFrame(list(buffer), columns=columns)
-        out["valid"] = out["valid"].fillna(False).astype(bool)
+    def _cut(self, session: str, kind: str, now: float, seen: int, buffer: deque) -> list[dict]:
         end = seen / self.config.fps
-        out.insert(0, "session_id", session)
-        out.insert(1, "kind", kind)
-        out.insert(2, "emitted_at", now)
-        out.insert(3, "t_start_s", max(0.0, end - self.config.length_s))
-        out.insert(4, "t_end_s", end)
-        out.insert(5, "place", np.arange(len(out)))
-        return out
+        head = (session, kind, now, max(0.0, end - self.config.length_s), end)
+        return [dict(zip(CUT_COLUMNS, (*head, place, *frame[:-1], bool(frame[-1])))) for place, frame in enumerate(buffer)]
 
-    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
-        self.frames.clear()
-        self.clock.clear()
+    def ended(self, key, at: float | None, late: int) -> Iterator[list[dict]]:
+        self.state.set(None)
+        if self.flushes:
+            self.flush()
         return iter(())
 
+    def flush(self) -> None:
+        self.state.flush()
+
     def close(self) -> None:
         pass
 
@@ -100,20 +103,20 @@ class WindowRowProcessor(WindowBufferProcessor):
     The end of a session gives a row of kind ``ended`` without frames, for the operators behind to clear their state.
     """
 
-    def _cut(self, session: str, kind: str, now: float, seen: int, buffer: deque, columns: list[str]) -> pd.DataFrame:
+    def handleInputRows(self, key, rows: Iterator[Rows | pd.DataFrame], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
+        cuts = self._cuts(key[0], [f for part in rows for f in tuples(part, ["at", *FRAME_VALUES, "valid"])])
+        return gathered(cuts) if self.flushes else cuts
+
+    def _cut(self, session: str, kind: str, now: float, seen: int, buffer: deque) -> list[dict]:
         end = seen / self.config.fps
         row = {"session_id": session, "kind": kind, "emitted_at": now, "t_start_s": max(0.0, end - self.config.length_s), "t_end_s": end}
-        values = zip(*buffer)
-        for name, own in zip(columns, values):
-            if name != "at":
-                row[name] = [None if pd.isna(v) else v for v in own]
-        return pd.DataFrame([row])
+        return [row | dict(zip(FRAME_VALUES + ["valid"], map(list, list(zip(*buffer))[1:])))]
 
-    def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
+    def ended(self, key, at: float | None, late: int) -> Iterator[list[dict]]:
         super().ended(key, at, late)
         if at is not None:
             names = [f.split()[0] for f in WINDOW_ROWS.split(", ")]
-            yield pd.DataFrame([{**dict.fromkeys(names), "session_id": key[0], "kind": "ended", "emitted_at": at}])
+            yield [{**dict.fromkeys(names), "session_id": key[0], "kind": "ended", "emitted_at": at}]
 
 
 def _moments(values: Column) -> Column:
@@ -225,6 +228,13 @@ def live_features(cut: DataFrame, config: FeatureConfig = FeatureConfig()) -> Da
     return out.where((F.col("kind") == "preview") | (F.col("bad_ratio") <= config.max_bad_ratio))
 
 
+def sorted_rows(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """All rows in the order of a column; those that come as one frame in this order are not copied."""
+    parts = list(rows)
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return whole if whole[by].is_monotonic_increasing else whole.sort_values(by, kind="stable", ignore_index=True)
+
+
 class CalibrationProcessor(StatefulProcessor):
     """Calibrates a session on its first windows, then emits centred and delta features.
 
@@ -241,44 +251,39 @@ class CalibrationProcessor(StatefulProcessor):
         self.n_windows = n_windows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{f} double" for f in self.features)
-        self.first = handle.getListState("first", fields)
-        self.baseline = handle.getValueState("baseline", fields)
-        self.previous = handle.getValueState("previous", fields)
+        self.state = Kept(handle, "calibration")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        windows = pd.concat(rows, ignore_index=True).sort_values("emitted_at", kind="stable", ignore_index=True)
+        windows = sorted_rows(rows, "emitted_at")
         values = windows[self.features].to_numpy(dtype=float)
         values[~np.isfinite(values)] = np.nan
         start = 0
-        if not self.baseline.exists():
-            held = list(self.first.get()) if self.first.exists() else []
+        # The windows of the calibration while it lasts, then the baseline and the last centred values.
+        held, baseline, previous = self.state.get() or ([], None, None)
+        if baseline is None:
             start = min(self.n_windows - len(held), len(values))
-            held += [tuple(None if np.isnan(v) else float(v) for v in row) for row in values[:start]]
-            if len(held) < self.n_windows:
-                self.first.put(held)
-                return
-            self.first.clear()
-            calm = np.array(held, dtype=float)
-            empty = np.isnan(calm).all(axis=0)
-            calm[:, empty] = 0.0
-            self.baseline.update(tuple(float(v) for v in np.nanmedian(calm, axis=0)))
-        if start == len(values):
-            return
-        safe = np.nan_to_num(values[start:], nan=0.0)
-        centered = safe - np.array(self.baseline.get(), dtype=float)
-        first = np.array([self.previous.get()], dtype=float) if self.previous.exists() else centered[:1]
-        delta = np.diff(np.vstack([first, centered]), axis=0)
-        self.previous.update(tuple(float(v) for v in centered[-1]))
-        spec = EngineeredFeatures(self.features)
-        head = windows.loc[start:, ["session_id", "emitted_at", *self.carried]].reset_index(drop=True)
-        yield pd.concat(
-            [head, pd.DataFrame(np.hstack([safe, centered, delta]), columns=spec.all)], axis=1
-        )
+            held = [*held, *values[:start].tolist()]
+            if len(held) == self.n_windows:
+                calm = np.array(held, dtype=float)
+                calm[:, np.isnan(calm).all(axis=0)] = 0.0
+                held, baseline = [], np.nanmedian(calm, axis=0).tolist()
+        if start < len(values):
+            safe = np.nan_to_num(values[start:], nan=0.0)
+            centered = safe - np.array(baseline, dtype=float)
+            first = centered[:1] if previous is None else np.array([previous], dtype=float)
+            delta = np.diff(np.vstack([first, centered]), axis=0)
+            previous = centered[-1].tolist()
+        self.state.set((held, baseline, previous))
+        self.state.flush()
+        if start < len(values):
+            spec = EngineeredFeatures(self.features)
+            out = {c: windows[c].iloc[start:].tolist() for c in ("session_id", "emitted_at", *self.carried)}
+            out |= dict(zip(spec.all, np.hstack([safe, centered, delta]).T))
+            yield pd.DataFrame(out)
 
     def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
-        for state in (self.first, self.baseline, self.previous):
-            state.clear()
+        self.state.set(None)
+        self.state.flush()
         return iter(())
 
     def close(self) -> None:

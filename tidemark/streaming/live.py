@@ -41,14 +41,17 @@ class UntilEnded(StatefulProcessor):
         self.behind.init(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True)
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if not (batch["kind"] == ENDED).any():
+            yield from self.behind.handleInputRows(key, iter([batch]), timerValues)
+            return
         batch = batch.assign(_ended=batch["kind"] == ENDED).sort_values([self.at, "_ended"], kind="stable", ignore_index=True)
         ended = batch.pop("_ended").to_numpy()
         lo = 0
         for hi in [*ended.nonzero()[0].tolist(), len(batch)]:
             if lo < hi:
-                for out in self.behind.handleInputRows(key, iter([batch.iloc[lo:hi].reset_index(drop=True)]), timerValues):
-                    yield out
+                yield from self.behind.handleInputRows(key, iter([batch.iloc[lo:hi].reset_index(drop=True)]), timerValues)
             if hi < len(batch):
                 list(self.behind.ended(key, None, 0))
                 if self.passes_on:
@@ -68,7 +71,7 @@ class _Filled(UntilEnded):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for out in super().handleInputRows(key, rows, timerValues):
-            yield out.reindex(columns=self.columns)
+            yield out if list(out.columns) == self.columns else out.reindex(columns=self.columns)
 
 
 def _keyed(stream: DataFrame, processor: StatefulProcessor, output: StructType | str) -> DataFrame:
