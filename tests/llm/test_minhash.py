@@ -128,3 +128,19 @@ def test_components_of_a_path_and_a_star(spark, n):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components(df, "b", "a").collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1000 + i: 1000 for i in range(1, n)}
+
+
+def test_marks_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [int((p << 40) + i) for p in (0, 1, 70) for i in (*range(40), minhash.MARKS - 1, minhash.MARKS, 5 * minhash.MARKS + 7)]
+    chosen = [r for r in rows if rng.random() < 0.5]
+    df = spark.createDataFrame([(r,) for r in rows], "row long")
+    for some in (chosen, chosen * 3, [], rows):
+        joined, held = minhash._marked(df, spark.createDataFrame([(r,) for r in some], "b long"), "b")
+        assert sorted(r.row for r in joined.where(held).collect()) == sorted(set(some))
+        assert sorted(r.row for r in joined.where(~held).collect()) == sorted(set(rows) - set(some))
+
+
+def test_texts_that_stay_are_not_shuffled(spark, documents):
+    plan = minhash.deduplicated(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

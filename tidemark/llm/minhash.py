@@ -47,6 +47,8 @@ SLICE, SLICE_ROWS = 1.1, 500
 #: Parts of the hash space in which shared shingles are counted apart.
 PARTS = 32
 PART = [f"c{i}" for i in range(PARTS)]
+#: Bits of a bitmap of Spark, a fixed value.
+MARKS = 1 << 15
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 
 
@@ -172,6 +174,21 @@ def _chain(placed: DataFrame, turn: int) -> DataFrame:
     return rows.select(F.col("last_rep").alias("a"), F.col("rep").alias("b"))
 
 
+def _marked(df: DataFrame, rows: DataFrame, column: str = "row") -> tuple[DataFrame, Column]:
+    """``df`` past the written bitmaps of ``rows``, and whether its row is among them. Exact.
+
+    A bitmap holds ``MARKS`` neighbouring row numbers, so the table is a bit a document and ``df``, with its texts, is read
+    past it where it lies, also where ``rows`` themselves are too many for that.
+    """
+    bits = rows.select(F.expr(f"{column} div {MARKS} as _marks"), (F.col(column) % MARKS).alias("place"))
+    # All rows of a bitmap are brought together first, not a bitmap from each task.
+    bits = bits.repartition("_marks").groupBy("_marks").agg(F.bitmap_construct_agg("place").alias("_bits"))
+    joined = df.withColumn("_marks", F.expr(f"row div {MARKS}")).join(stage(bits, "marks"), "_marks", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(row % {MARKS} as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, cast(row % 8 as int))")) != 0
+    return joined, F.coalesce(held, F.lit(False))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold, written.
 
@@ -200,10 +217,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = stage(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    # Written, so that its size is known: texts are read past a small table and only shuffled for a large one.
     dealt = stage(dealt, "dealt")
     wanted = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct())
-    ready = wanted.join(texts.select(F.col("row").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    # Only texts of pairs are shuffled; all others stay where they were read.
+    marked, held = _marked(texts, wanted, "b")
+    used = marked.where(held).select(F.col("row").alias("b"), "text")
+    ready = wanted.join(used, "b").select("a", "part", "b", "text")
     first = F.col("a") != F.col("b")
     return ready.repartition("a", "part").sortWithinPartitions("a", "part", first).select("a", "b", "text").mapInPandas(run, "a long, b long").transform(stage, "links")
 
@@ -232,9 +251,8 @@ def _shared(still: DataFrame, texts: DataFrame) -> DataFrame:
                 parts = np.array([_by_hash(s) - _by_hash(o) for s, o in zip(shingle_sets(texts[lo:hi]), own)])
                 yield pd.DataFrame({"rep": batch["row"].iloc[lo:hi].to_numpy()} | {c: parts[:, i] for i, c in enumerate(PART)})
 
-    # Written, so that their size is known and texts are read past a small table; and read twice.
-    rows = stage(still.select(F.col("rep").alias("row")).distinct(), "open-rows")
-    opened = stage(texts.join(rows, "row", "left_semi"), "opened")
+    marked, held = _marked(texts, still, "rep")
+    opened = stage(marked.where(held).select("row", "text"), "opened")
     shingles = opened.mapInPandas(split, "rep long, shingle long").groupBy("shingle")
     alone = shingles.agg(F.count("*").alias("docs"), F.min("rep").alias("row")).where("docs = 1")
     own = alone.groupBy("row").agg(F.collect_list("shingle").alias("own"))
@@ -345,7 +363,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` without near copies: one row of each component, of its smallest id.
 
     Of rows that repeat that id one stays. Rows with a NULL id all stay. The columns are those of ``docs``, unchanged; a
-    text is read from the written table, and only rows that go are joined with it.
+    text is read from the written table past a bit a row, and not shuffled.
     """
     others = [c for c in docs.columns if c != text_col]
     sig = stage(signatures(docs, id_col, text_col, others), "signatures")
@@ -353,4 +371,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("stay"))
     gone = rows.join(stays, "component_id", "left").where("stay is null or row <> stay").select("row")
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in docs.columns]
-    return sig.join(gone, "row", "left_anti").select(*columns)
+    marked, held = _marked(sig, gone)
+    return marked.where(~held).select(*columns)
