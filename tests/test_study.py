@@ -67,6 +67,19 @@ def test_shuffle_and_choices(spark):
     assert len(rows) == 12 * 4 * 10
 
 
+def test_items_are_shuffled_once_a_participant_in_all_tasks(spark):
+    table = spark.createDataFrame([("A", "easy", n, f"i{n}", "c", f"t{n}", "g") for n in range(4)],
+                                  "form string, difficulty string, position int, id string, cue string, target string, interference_group string")
+    people = spark.createDataFrame([("p", "A", "easy"), ("p", "A", "easy"), ("q", "B", "easy"), (None, "A", "easy"), ("r", None, "easy")],
+                                   "participant_id string, form string, difficulty string")
+    blocks = stimuli.block_items(people, table)
+    for rows in (stimuli.distractors(blocks), stimuli.recognition_choices(blocks)):
+        plans = rows._jdf.queryExecution()
+        assert not [p for p in plans.optimizedPlan().toString().splitlines() if "Filter" in p and "lambdafunction" in p]
+        assert "hashpartitioning(form" not in plans.executedPlan().toString()
+        assert sorted((r.participant_id or "", r.item.id) for r in rows.collect()) == sorted((p, f"i{n}") for p in ("p", "p", "") for n in range(4))
+
+
 def test_text_rules(spark):
     df = spark.createDataFrame([("data/p1_Relax_Math.mp4", None), ("x.avi", None), ("a/b_c.mp4", "Own"), ("", None)], "v string, t string")
     got = df.select(text.task_of_video("v").alias("a"), text.task_of_recording("v", "t").alias("b")).collect()

@@ -14,6 +14,7 @@ from tidemark.config import StudyPlan
 from tidemark.functions.seeded import reshuffle_seed, seeded_shuffle
 from tidemark.functions.text import uint32_hash
 from tidemark.operators.sequence import key_join
+from tidemark.sources.writers import staged
 
 BLOCK = ["form", "difficulty"]
 
@@ -36,13 +37,27 @@ def item_pools(items: DataFrame, position: str = "position") -> DataFrame:
 def block_items(
     df: DataFrame, items: DataFrame, seed_input: str = "participant_id", count: int | None = None, name: str = "items"
 ) -> DataFrame:
-    """Add the participant's own order of the items of a form and difficulty, cut to ``count`` items."""
+    """Add the participant's own order of the items of a form and difficulty, cut to ``count`` items.
+
+    The work is in the rows of ``df``, far more than their bytes tell, so they are spread over all tasks first. The pools are
+    a written table: a few rows that Spark broadcasts, where a shuffle would bring all rows to a task a form and difficulty.
+    """
     seed = uint32_hash(F.concat_ws(":", seed_input, *BLOCK))
     shuffled = seeded_shuffle(F.col("_pool"), seed)
-    joined = key_join(df, item_pools(items), BLOCK, "left")
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = key_join(spread, staged(item_pools(items), "item-pools"), BLOCK, "left")
     return joined.withColumn(name, shuffled if count is None else F.slice(shuffled, 1, count)).drop("_pool")
 
 
+def _each_item(df: DataFrame, items: str) -> DataFrame:
+    """One row an item, as by ``explode``.
+
+    The filter that Spark infers from an inner ``explode`` would compute the list, and so the shuffle behind it, again.
+    """
+    rows = df.select("*", F.posexplode_outer(items).alias("_place", "item"))
+    return rows.where(F.col("_place").isNotNull()).drop("_place")
+
+
 def _others(item: str = "item", items: str = "items") -> Column:
     return F.filter(items, lambda c: c["id"] != F.col(f"{item}.id"))
 
@@ -51,7 +66,7 @@ def distractors(df: DataFrame, items: str = "items") -> DataFrame:
     """One row an item of a block with its candidates for wrong answers and those of its own interference group."""
     wrong = F.filter(_others("item", items), lambda c: c["target"] != F.col("item.target"))
     same = F.filter("candidates", lambda c: c["interference_group"] == F.col("item.interference_group"))
-    return df.withColumn("item", F.explode(items)).withColumn("candidates", wrong).withColumn("same_group", same)
+    return _each_item(df, items).withColumn("candidates", wrong).withColumn("same_group", same)
 
 
 def recognition_choices(
@@ -87,8 +102,7 @@ def recognition_choices(
     # The hash of the participant's part is taken once per row, before the items are unfolded.
     item_seed = uint32_hash(F.concat(F.lit(":"), F.col("item.id"), F.lit(":recognition")), F.col("_seed_head"))
     return (
-        df.withColumn("_seed_head", uint32_hash(seed_input))
-        .withColumn("item", F.explode(items))
+        _each_item(df.withColumn("_seed_head", uint32_hash(seed_input)), items)
         .withColumn("_others", others)
         .withColumns(
             {
