@@ -275,3 +275,31 @@ def test_waiting_rows_take_few_calls_to_the_state(spark, monkeypatch, inline):
     if inline == 1000:
         # About 200 slots in 12 batches, one timer and one value a batch.
         assert store.calls < 12 * 20
+
+
+def test_sessions_of_a_bucket_share_calls_to_the_state(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(f"s{i}", t, t + rng.random() * 4) for i in range(150) for t in [float(100 * (j // 6) + j % 6) for j in range(12 + i % 3)]]
+    frame = pd.DataFrame(sorted(rows, key=lambda r: r[2]), columns=["session_id", "at", "received"])
+    batches = [frame.iloc[i : i + 500].reset_index(drop=True) for i in range(0, len(frame), 500)]
+    batches.append(pd.DataFrame([(None, 9000.0)], columns=["at", "received"]).assign(session_id=None).astype({"at": float}))
+    stream = spark.createDataFrame([], "session_id string, at double, received double")
+    got, store = run_one_key(monkeypatch, stream, 1000, batches)
+    times = {s: sorted(t for name, t, _ in rows if name == s) for s, _, _ in rows}
+    assert Counter(got) == Counter(x for own in times.values() for x in session_rows(own, 30.0)) and len(got) > 300
+    # One value and one timer in a call, whatever the number of sessions; nothing is left of them.
+    assert store.calls < 12 * len(batches) and not store.values and not store.entries
+
+
+def test_many_sessions_of_a_stream_take_few_entries_of_state(spark, tmp_path):
+    rows = [r for i in range(60) for r in frame_rows(f"s{i}", 14, i)]
+    stream = as_files(spark, rows, FRAME, str(tmp_path / "in"), 2, end=2.0)
+    with jobs.state_store(spark, 2):
+        query = (
+            live.live_windows(stream, CONFIG, 4.0, None, buckets=5)
+            .writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "check"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        # A value and a timer a bucket, with the timer's two entries, not a session.
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5 * 4

@@ -5,8 +5,9 @@ follows the times of receipt, so the engine drops no row for the age of its own
 ``lateness_s`` after its own time is late: it is counted for its session and kept out. All others wait in keyed state, in
 slots of their own time, until the watermark has passed the slot's end by ``lateness_s``; then no row of the slot can still
 come, an event-time timer hands the slot in order to the processor behind, and the slot leaves the state. A handler thus holds
-one Arrow batch or one slot, never a session or a whole micro-batch, and the state of a session is what it received within
-the lateness bound. The result does not depend on how rows are dealt to files and micro-batches.
+one Arrow batch or one slot beside the packed state of a bucket of sessions, never a session's rows or a whole micro-batch, and
+the state of a session is what it received within the lateness bound. The result does not depend on how rows are dealt to
+files and micro-batches.
 
 A session ends where its next row in order is more than ``gap_s`` later, or when nothing has been received for as long as
 that takes to be certain. The processor behind then emits its last rows and clears its state.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -37,8 +38,10 @@ def clock(received: str) -> Column:
     return F.timestamp_micros(((F.col(received) + SHIFT_S) * 1_000_000).cast("bigint"))
 
 
-#: Waiting rows of a key that stand beside its place; of more rows every slot has an entry of its own.
+#: Waiting rows of a session that stand beside its place; of more rows every slot has an entry of its own.
 INLINE = 256
+#: Entries of state that the sessions of a stream are dealt to.
+BUCKET, BUCKETS = "_bucket", 1024
 #: Rows of a data frame that is handed to the engine.
 OUT = 1024
 
@@ -104,16 +107,84 @@ def gathered(parts: Iterator[list[dict] | pd.DataFrame]) -> Iterator[pd.DataFram
         yield pd.DataFrame(waiting)
 
 
+class Sessions:
+    """The states of a bucket of sessions, packed one by one, in one value state of the engine.
+
+    A call to the state costs more than the work on a session, so sessions are dealt to buckets, and a bucket is read once and
+    written once in a call of a handler. Only sessions that have rows or are due are unpacked. To a processor behind it is the
+    handle: its value states are those of the session that is open.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = Kept(handle, "sessions")
+        self.values: dict[str, Any] = {}
+
+    def bucket(self) -> tuple[int | None, dict[Any, tuple[int | None, bytes]]]:
+        """The timer of the bucket, and of each session what is due next (milliseconds) and its packed values."""
+        return self.kept.get() or (None, {})
+
+    def open(self, packed: bytes | None) -> None:
+        self.values = pickle.loads(packed) if packed else {}
+
+    def packed(self) -> bytes | None:
+        """The values of the open session, None without any."""
+        return pickle.dumps(self.values, pickle.HIGHEST_PROTOCOL) if self.values else None
+
+    def flush(self, timer: int | None, sessions: dict[Any, tuple[int | None, bytes]]) -> None:
+        self.kept.set((timer, sessions) if sessions else None)
+        self.kept.flush()
+
+    def getValueState(self, name: str, schema: Any = None) -> SessionValue:
+        return SessionValue(self, name)
+
+
+class SessionValue:
+    """A value state of the open session of a bucket."""
+
+    def __init__(self, sessions: Sessions, name: str) -> None:
+        self.sessions, self.name = sessions, name
+
+    def exists(self) -> bool:
+        return self.name in self.sessions.values
+
+    def get(self) -> tuple | None:
+        return self.sessions.values.get(self.name)
+
+    def update(self, value: tuple) -> None:
+        self.sessions.values[self.name] = value
+
+    def clear(self) -> None:
+        self.sessions.values.pop(self.name, None)
+
+
+def dealt(key: str, buckets: int) -> Column:
+    """The bucket of a session."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+
+def by_session(batch: pd.DataFrame, key: str, columns: Sequence[str], replaced: Mapping[str, list]) -> dict[Any, list[tuple]]:
+    """Rows of each session as tuples, those of a NULL key left out; ``replaced`` are columns with other values."""
+    names: dict[Any, Any] = {}
+    # Equal names are one object, which is packed once.
+    sessions = [names.setdefault(s, s) for s in batch[key].tolist()]
+    values = [sessions if c == key else replaced[c] if c in replaced else batch[c].tolist() for c in columns]
+    found: dict[Any, list[tuple]] = {}
+    for session, row in zip(sessions, zip(*values)):
+        found.setdefault(session, []).append(row)
+    return {session: rows for session, rows in found.items() if not pd.isna(session)}
+
+
 class InOrder(StatefulProcessor):
-    """Hands the rows of a key to ``behind`` in the order of ``at``, one slot at a time.
+    """Hands the rows of each session to ``behind`` in the order of ``at``, one slot at a time.
 
     ``behind`` is a processor without timers of its own. If it has ``ended(key, at, late)``, that is called at the end of a
     session with the time of its last row and, when the key falls silent, the number of late rows since the last such call;
     a key that had late rows only is reported with ``at`` None. One with ``flush`` gets ``Rows``, may give lists of rows
-    besides data frames, and writes its state when ``flush`` is called, once all slots that are due have been handed over.
+    besides data frames, has value states only, and writes them when ``flush`` is called, once all slots of a session that are
+    due have been handed over. Its sessions share buckets of state; any other has a key of its own for each session.
 
-    A call to the state costs more than the work on a slot, so a key has one timer, for what is due next, and few waiting rows
-    (``INLINE``) are read and written together with its place.
+    A bucket has one timer, for what is due next, and few waiting rows of a session (``INLINE``) are read and written together
+    with its place.
     """
 
     def __init__(
@@ -125,8 +196,9 @@ class InOrder(StatefulProcessor):
         lateness_s: float,
         slot_s: float | None = None,
         gap_s: float | None = None,
+        key: str = "session_id",
     ) -> None:
-        self.behind, self.at, self.received, self.columns = behind, at, received, list(columns)
+        self.behind, self.key, self.at, self.received, self.columns = behind, key, at, received, list(columns)
         self.lateness_s, self.gap_s = lateness_s, gap_s
         self.slot_s = slot_s or max(lateness_s / 2, 1.0)
         self.plain = not hasattr(behind, "flush")
@@ -135,52 +207,58 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", "rows binary")
-        self.place = Kept(handle, "place")
-        self.behind.init(handle)
+        self.waiting = handle.getMapState("waiting", "session string, slot bigint", "rows binary")
+        self.sessions = Sessions(handle)
+        self.behind.init(handle if self.plain else self.sessions)
 
-    def _place(self) -> tuple[float | None, float | None, int, int | None, dict[int, list[tuple] | None]]:
-        """Last time handed over, newest receipt, late rows, the timer, and the waiting slots (None: in the map state)."""
-        return self.place.get() or (None, None, 0, None, {})
+    def _place(self) -> tuple[float | None, float | None, int, dict[int, list[tuple] | None]]:
+        """Last time handed over, newest receipt, late rows, and the waiting slots (None: in the map state) of the open session."""
+        return self.sessions.values.get("_place") or (None, None, 0, {})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return iter(())
-        last, received, late, timer, held = self._place()
-        place = self.columns.index(self.at)
+        timer, sessions = self.sessions.bucket()
         for batch in rows:
-            new: dict[int, list[tuple]] = {}
-            times = zip(batch[self.at].astype(float).tolist(), batch[self.received].astype(float).tolist())
-            for (at, got), row in zip(times, zip(*(batch[c].tolist() for c in self.columns))):
-                if math.isfinite(got) and (received is None or got > received):
-                    received = got
-                if not (math.isfinite(at) and got - at <= self.lateness_s):
-                    late += 1
-                else:
-                    new.setdefault(math.floor(at / self.slot_s), []).append((*row[:place], at, *row[place + 1 :]))
-            self._hold(held, new)
-        timer = self._next_timer(held, received, timer)
-        self.place.set((last, received, late, timer, held))
-        self.place.flush()
+            times = batch[self.at].astype(float).tolist()
+            receipts = batch[self.received].astype(float).tolist()
+            found = by_session(batch, self.key, [*self.columns, "_at", "_got"], {self.at: times, "_at": times, "_got": receipts})
+            for session, new in found.items():
+                self.sessions.open(sessions.get(session, (None, None))[1])
+                self._take(session, new)
+                sessions[session] = (self._next_ms(), self.sessions.packed())
+        self.sessions.flush(self._timed(timer, sessions), sessions)
         return iter(())
 
-    def _hold(self, held: dict[int, list[tuple] | None], new: dict[int, list[tuple]]) -> None:
+    def _take(self, session: Any, rows: list[tuple]) -> None:
+        last, received, late, held = self._place()
+        new: dict[int, list[tuple]] = {}
+        for row in rows:
+            at, got = row[-2:]
+            if math.isfinite(got) and (received is None or got > received):
+                received = got
+            if not (math.isfinite(at) and got - at <= self.lateness_s):
+                late += 1
+            else:
+                new.setdefault(math.floor(at / self.slot_s), []).append(row[:-2])
+        self._hold(session, held, new)
+        self.sessions.values["_place"] = (last, received, late, held)
+
+    def _hold(self, session: Any, held: dict[int, list[tuple] | None], new: dict[int, list[tuple]]) -> None:
         for slot, part in new.items():
             if held.get(slot, part) is None:
-                self._store(slot, self._stored(slot) + part)
+                self._store(session, slot, self._stored(session, slot) + part)
             else:
                 held[slot] = [*held.get(slot, ()), *part]
         if sum(len(part) for part in held.values() if part) > INLINE:
             for slot, part in held.items():
                 if part is not None:
-                    self._store(slot, part)
+                    self._store(session, slot, part)
                     held[slot] = None
 
-    def _stored(self, slot: int) -> list[tuple]:
-        return pickle.loads(self.waiting.getValue((slot,))[0])
+    def _stored(self, session: Any, slot: int) -> list[tuple]:
+        return pickle.loads(self.waiting.getValue((str(session), slot))[0])
 
-    def _store(self, slot: int, part: list[tuple]) -> None:
-        self.waiting.updateValue((slot,), (pickle.dumps(part, pickle.HIGHEST_PROTOCOL),))
+    def _store(self, session: Any, slot: int, part: list[tuple]) -> None:
+        self.waiting.updateValue((str(session), slot), (pickle.dumps(part, pickle.HIGHEST_PROTOCOL),))
 
     def _due_ms(self, slot: int) -> int:
         return math.ceil(((slot + 1) * self.slot_s + self.lateness_s + SHIFT_S) * 1000)
@@ -189,58 +267,74 @@ class InOrder(StatefulProcessor):
         """When a later row on time is more than the gap behind every row so far."""
         return math.ceil((received + self.lateness_s + self.gap_s + SHIFT_S) * 1000) + 1
 
-    def _next_timer(self, held: dict, received: float | None, timer: int | None) -> int | None:
-        """The earliest timer of the key, set here if none is early enough; a later one then fires for nothing."""
-        wanted = [self._due_ms(min(held))] if held else []
-        if not held and self.gap_s is not None and received is not None:
-            wanted.append(self._silence_ms(received))
-        if wanted and (timer is None or wanted[0] < timer):
-            self.handle.registerTimer(wanted[0])
-            return wanted[0]
+    def _next_ms(self) -> int | None:
+        """When something is due for the open session."""
+        _, received, _, held = self._place()
+        if held:
+            return self._due_ms(min(held))
+        return None if self.gap_s is None or received is None else self._silence_ms(received)
+
+    def _timed(self, timer: int | None, sessions: dict[Any, tuple[int | None, bytes]]) -> int | None:
+        """The earliest timer of the bucket, set here if none is early enough; a later one then fires for nothing."""
+        wanted = min((due for due, _ in sessions.values() if due is not None), default=None)
+        if wanted is not None and (timer is None or wanted < timer):
+            self.handle.registerTimer(wanted)
+            return wanted
         return timer
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        if self._place()[3] is None or fired < self._place()[3]:
-            self.place.flush()
+        timer, sessions = self.sessions.bucket()
+        if timer is None or fired < timer:
+            self.sessions.kept.flush()
             return
-        yield from gathered(self._expired(key, timerValues, max(fired, timerValues.getCurrentWatermarkInMs())))
-        if not self.plain:
-            self.behind.flush()
-        self.place.flush()
+        yield from gathered(self._due(sessions, timerValues, max(fired, timerValues.getCurrentWatermarkInMs())))
+        self.sessions.flush(self._timed(None, sessions), sessions)
+
+    def _due(self, sessions: dict[Any, tuple[int | None, bytes]], timerValues: TimerValues, now: int) -> Iterator[list[dict] | pd.DataFrame]:
+        for session in [s for s, (due, _) in sessions.items() if due is not None and due <= now]:
+            self.sessions.open(sessions[session][1])
+            yield from self._expired(session, timerValues, now)
+            if not self.plain:
+                self.behind.flush()
+            packed = self.sessions.packed()
+            if packed is None:
+                del sessions[session]
+            else:
+                sessions[session] = (self._next_ms(), packed)
 
-    def _expired(self, key, timerValues: TimerValues, now: int) -> Iterator[list[dict] | pd.DataFrame]:
-        last, received, late, timer, held = self._place()
+    def _expired(self, session: Any, timerValues: TimerValues, now: int) -> Iterator[list[dict] | pd.DataFrame]:
+        last, received, late, held = self._place()
         at = self.columns.index(self.at)
         for slot in sorted(s for s in held if self._due_ms(s) <= now):
             rows = held.pop(slot)
             if rows is None:
-                rows = self._stored(slot)
-                self.waiting.removeKey((slot,))
+                rows = self._stored(session, slot)
+                self.waiting.removeKey((str(session), slot))
             rows.sort(key=lambda row: row[at])
             lo = 0
             for hi, row in enumerate(rows):
                 if self.gap_s is not None and last is not None and row[at] - last > self.gap_s:
                     if lo < hi:
-                        yield from self._handed(key, rows[lo:hi], timerValues)
-                    yield from self._ended(key, last, 0)
+                        yield from self._handed(session, rows[lo:hi], timerValues)
+                    yield from self._ended(session, last, 0)
                     lo = hi
                 last = row[at]
-            yield from self._handed(key, rows[lo:], timerValues)
+            yield from self._handed(session, rows[lo:], timerValues)
         if self.gap_s is not None and received is not None and not held and self._silence_ms(received) <= now:
             if last is not None or late:
-                yield from self._ended(key, last, late)
-            self.place.set(None)
+                yield from self._ended(session, last, late)
+            self.sessions.values.pop("_place")
         else:
-            self.place.set((last, received, late, self._next_timer(held, received, None), held))
+            self.sessions.values["_place"] = (last, received, late, held)
 
-    def _handed(self, key, rows: list[tuple], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
+    def _handed(self, session: Any, rows: list[tuple], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
         part = pd.DataFrame(rows, columns=self.columns) if self.plain else Rows(rows, self.columns)
-        return self.behind.handleInputRows(key, iter([part]), timerValues) or ()
+        return self.behind.handleInputRows((session,), iter([part]), timerValues) or ()
 
-    def _ended(self, key, at: float | None, late: int) -> Iterator[list[dict] | pd.DataFrame]:
+    def _ended(self, session: Any, at: float | None, late: int) -> Iterator[list[dict] | pd.DataFrame]:
         if hasattr(self.behind, "ended"):
-            yield from self.behind.ended(key, at, late) or ()
+            yield from self.behind.ended((session,), at, late) or ()
 
     def close(self) -> None:
         self.behind.close()
@@ -257,18 +351,22 @@ def in_order(
     key: str = "session_id",
     slot_s: float | None = None,
     skew: str = "1 second",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``behind`` run on the rows of each key of ``stream`` in the order of ``at``, whatever the order of arrival.
 
     ``skew`` is how far times of receipt may run back from one micro-batch to the next; rows further back are dropped by the
     engine and counted in the query's progress. A row without ``at`` or ``received`` is late. Rows of a NULL key only move
-    the clock; they are left out by the processor, because a filter would be moved below the watermark.
+    the clock; they are left out by the processor, because a filter would be moved below the watermark. ``buckets`` is fixed when
+    a stream first starts; the state of a bucket passes through the memory of a task.
     """
     clocked = stream.withColumn(CLOCK, clock(received)).withWatermark(CLOCK, skew)
+    processor = InOrder(behind, at, received, stream.columns, lateness_s, slot_s, gap_s, key)
     return (
-        clocked.groupBy(key)
+        clocked.withColumn(BUCKET, F.col(key) if processor.plain else dealt(key, buckets))
+        .groupBy(BUCKET)
         .transformWithStateInPandas(
-            statefulProcessor=InOrder(behind, at, received, stream.columns, lateness_s, slot_s, gap_s),
+            statefulProcessor=processor,
             outputStructType=output,
             outputMode="Append",
             timeMode="EventTime",
