@@ -291,6 +291,44 @@ def test_sessions_of_a_bucket_share_calls_to_the_state(spark, monkeypatch):
     assert store.calls < 12 * len(batches) and not store.values and not store.entries
 
 
+class Summed(arrival.SessionProcessor):
+    """Rows and their times as sums: what the sessions of a bucket must not mix."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, total = self.session.get() or (0, 0.0)
+        for part in rows:
+            for (at,) in arrival.tuples(part, ["at"]):
+                n, total = n + 1, total + at
+        self.session.set((n, total))
+        yield [{"session_id": key[0], "at": at, "n": n, "total": total}]
+
+    def ended(self, key, at, late):
+        self.session.set(None)
+        return iter(())
+
+
+def test_chained_sessions_of_a_bucket_keep_their_own_state():
+    processor, store = live.UntilEnded(Summed(), "at", True, ["session_id", "at", "kind", "n", "total"]), Store()
+    processor.init(store)
+
+    def run(rows):
+        store.calls = 0
+        frame = pd.DataFrame(rows, columns=["session_id", "at", "kind"])
+        out = list(processor.handleInputRows((0,), iter([frame.iloc[:3], frame.iloc[3:]]), None))
+        assert store.calls <= 2
+        return {(r.session_id, r.at, r.kind == "ended"): None if r.kind == "ended" else (r.n, r.total) for part in out for r in part.itertuples()}
+
+    assert run([("a", 2.0, "w"), ("b", 1.0, "w"), ("a", 1.0, "w"), ("c", 5.0, "w")]) == {
+        ("a", 2.0, False): (2, 3.0), ("b", 1.0, False): (1, 1.0), ("c", 5.0, False): (1, 5.0)
+    }
+    assert run([("b", 4.0, "w"), ("a", 3.0, "ended"), ("a", 9.0, "w"), ("a", 3.0, "w")]) == {
+        ("b", 4.0, False): (2, 5.0), ("a", 3.0, False): (3, 6.0), ("a", 3.0, True): None, ("a", 9.0, False): (1, 9.0)
+    }
+    for s in "abc":
+        run([(s, 10.0, "ended")])
+    assert not store.values
+
+
 def test_many_sessions_of_a_stream_take_few_entries_of_state(spark, tmp_path):
     rows = [r for i in range(60) for r in frame_rows(f"s{i}", 14, i)]
     stream = as_files(spark, rows, FRAME, str(tmp_path / "in"), 2, end=2.0)

@@ -7,9 +7,8 @@ the same controller lives in keyed state.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, Ti
 
 from tidemark.config import StudyPlan, StudyQuality
 from tidemark.schemas import require_columns
+from tidemark.streaming.arrival import Kept, Rows, gathered, tuples
 
 # Action names and their explanations.
 PAUSE = ("low_confidence_pause", "paused", "Adaptation paused due to low signal quality.")
@@ -45,6 +45,8 @@ SAMPLE_COLUMNS = [
     "phase",
 ]
 
+AT_MS = SAMPLE_COLUMNS.index("timestamp_ms")
+
 EVENT_SCHEMA = """
     session_id string, timestamp_ms bigint, session_time_s double, phase string, type string,
     outcome string, cli double, smoothed_cli double, valid_frame_ratio double, details string
@@ -191,35 +193,38 @@ class ScoreProcessor(StatefulProcessor):
     ):
         self.alpha, self.start, self.plan, self.quality = alpha, start, plan, quality
 
+    flushes = True
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "state string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        found = self.state.get()
-        stored = json.loads(found[0]) if found is not None else {"smoothed": self.start, "controller": {}}
-        smoothed, controller = stored["smoothed"], Controller(**stored["controller"])
-        samples = pd.concat(rows, ignore_index=True).sort_values("timestamp_ms", kind="stable")
-        out = []
-        for s in samples.itertuples(index=False):
-            smoothed = self.alpha * s.cli + (1.0 - self.alpha) * smoothed
+        self.state = Kept(handle, "session")
+
+    def handleInputRows(self, key, rows: Iterator[Rows | pd.DataFrame], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
+        samples = [s for part in rows for s in tuples(part, SAMPLE_COLUMNS)]
+        samples.sort(key=lambda s: s[AT_MS])
+        out = self._scored(key[0], samples)
+        return gathered(iter([out])) if self.flushes else iter([out])
+
+    def _scored(self, session: str, samples: list[tuple]) -> list[dict]:
+        smoothed, stored = self.state.get() or (self.start, {})
+        controller, out = Controller(**stored), []
+        for _, condition, at_ms, cli, ratio, light, time_s, phase in samples:
+            smoothed = self.alpha * cli + (1.0 - self.alpha) * smoothed
             event = None
-            if str(s.phase).startswith("learning"):
-                event = controller.step(
-                    int(s.timestamp_ms), s.cli, s.valid_frame_ratio, s.illumination_std, s.condition, self.plan, self.quality
-                )
+            if str(phase).startswith("learning"):
+                event = controller.step(int(at_ms), cli, ratio, light, condition, self.plan, self.quality)
             event = event or {}
             out.append(
                 {
-                    "session_id": key[0],
-                    "timestamp_ms": int(s.timestamp_ms),
-                    "session_time_s": s.session_time_s,
-                    "phase": s.phase,
-                    "raw_cli": s.cli,
+                    "session_id": session,
+                    "timestamp_ms": int(at_ms),
+                    "session_time_s": time_s,
+                    "phase": phase,
+                    "raw_cli": cli,
                     "smoothed_cli": smoothed,
-                    "valid_frame_ratio": s.valid_frame_ratio,
-                    "illumination_std": s.illumination_std,
-                    "low_vfr_flag": s.valid_frame_ratio < self.quality.min_valid_ratio,
-                    "unstable_illumination_flag": s.illumination_std > self.quality.max_illumination_std,
+                    "valid_frame_ratio": ratio,
+                    "illumination_std": light,
+                    "low_vfr_flag": ratio < self.quality.min_valid_ratio,
+                    "unstable_illumination_flag": light > self.quality.max_illumination_std,
                     "event_type": event.get("type"),
                     "event_outcome": event.get("outcome"),
                     "event_smoothed_cli": event.get("smoothed_cli"),
@@ -228,13 +233,20 @@ class ScoreProcessor(StatefulProcessor):
                     "stepped_down": controller.stepped_down,
                 }
             )
-        self.state.update((json.dumps({"smoothed": smoothed, "controller": asdict(controller)}),))
-        yield pd.DataFrame(out)
+        self.state.set((smoothed, vars(controller)))
+        if self.flushes:
+            self.flush()
+        return out
 
     def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        self.state.set(None)
+        if self.flushes:
+            self.flush()
         return iter(())
 
+    def flush(self) -> None:
+        self.state.flush()
+
     def close(self) -> None:
         pass
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from statistics import median
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,13 +228,6 @@ def live_features(cut: DataFrame, config: FeatureConfig = FeatureConfig()) -> Da
     return out.where((F.col("kind") == "preview") | (F.col("bad_ratio") <= config.max_bad_ratio))
 
 
-def sorted_rows(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    """All rows in the order of a column; those that come as one frame in this order are not copied."""
-    parts = list(rows)
-    whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return whole if whole[by].is_monotonic_increasing else whole.sort_values(by, kind="stable", ignore_index=True)
-
-
 class CalibrationProcessor(StatefulProcessor):
     """Calibrates a session on its first windows, then emits centred and delta features.
 
@@ -250,42 +243,49 @@ class CalibrationProcessor(StatefulProcessor):
         self.features, self.carried = list(features), list(carried)
         self.n_windows = n_windows
 
+    flushes = True
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = Kept(handle, "calibration")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        windows = sorted_rows(rows, "emitted_at")
-        values = windows[self.features].to_numpy(dtype=float)
-        values[~np.isfinite(values)] = np.nan
-        start = 0
+    def handleInputRows(self, key, rows: Iterator[Rows | pd.DataFrame], timerValues: TimerValues) -> Iterator[list[dict] | pd.DataFrame]:
+        columns = ["emitted_at", *self.carried, *self.features]
+        windows = sorted((w for part in rows for w in tuples(part, columns)), key=lambda w: (w[0] is None or w[0] != w[0], w[0]))
+        out = self._calibrated(key[0], windows)
+        return gathered(iter([out])) if self.flushes else iter([out])
+
+    def _calibrated(self, session: str, windows: list[tuple]) -> list[dict]:
+        names = EngineeredFeatures(self.features).all
         # The windows of the calibration while it lasts, then the baseline and the last centred values.
         held, baseline, previous = self.state.get() or ([], None, None)
-        if baseline is None:
-            start = min(self.n_windows - len(held), len(values))
-            held = [*held, *values[:start].tolist()]
-            if len(held) == self.n_windows:
-                calm = np.array(held, dtype=float)
-                calm[:, np.isnan(calm).all(axis=0)] = 0.0
-                held, baseline = [], np.nanmedian(calm, axis=0).tolist()
-        if start < len(values):
-            safe = np.nan_to_num(values[start:], nan=0.0)
-            centered = safe - np.array(baseline, dtype=float)
-            first = centered[:1] if previous is None else np.array([previous], dtype=float)
-            delta = np.diff(np.vstack([first, centered]), axis=0)
-            previous = centered[-1].tolist()
+        first, out = 1 + len(self.carried), []
+        for window in windows:
+            values = [None if v is None or not math.isfinite(v) else float(v) for v in window[first:]]
+            if baseline is None and len(held) < self.n_windows:
+                held = [*held, values]
+                if len(held) == self.n_windows:
+                    held, baseline = [], [median([v for v in known if v is not None] or [0.0]) for known in zip(*held)]
+                continue
+            safe = [0.0 if v is None else v for v in values]
+            centered = [v - b for v, b in zip(safe, baseline)]
+            delta = [c - p for c, p in zip(centered, previous or centered)]
+            previous = centered
+            carried = zip(["session_id", "emitted_at", *self.carried], [session, *window[:first]])
+            out.append(dict(carried) | dict(zip(names, [*safe, *centered, *delta])))
         self.state.set((held, baseline, previous))
-        self.state.flush()
-        if start < len(values):
-            spec = EngineeredFeatures(self.features)
-            out = {c: windows[c].iloc[start:].tolist() for c in ("session_id", "emitted_at", *self.carried)}
-            out |= dict(zip(spec.all, np.hstack([safe, centered, delta]).T))
-            yield pd.DataFrame(out)
+        if self.flushes:
+            self.flush()
+        return out
 
     def ended(self, key, at: float | None, late: int) -> Iterator[pd.DataFrame]:
         self.state.set(None)
-        self.state.flush()
+        if self.flushes:
+            self.flush()
         return iter(())
 
+    def flush(self) -> None:
+        self.state.flush()
+
     def close(self) -> None:
         pass
 

@@ -2,13 +2,14 @@
 
 Three stateful operators are chained: frames to windows in order of arrival, windows to calibrated features, scores to smoothed
 scores and actions. What lies between is stateless: the features are expressions over a window's arrays, the saved pipeline is
-applied to the stream as to a table. All operators key by session, so the rows of a session stay in one partition of state. The
-end of a session travels through the chain as a row of its own and clears the state of each operator.
+applied to the stream as to a table. All operators key by the same buckets of sessions, so the rows of a session stay in one
+partition of state. The end of a session travels through the chain as a row of its own and clears the state of each operator.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructType
 from tidemark.config import EngineeredFeatures, FeatureConfig, StudyPlan, StudyQuality
 from tidemark.operators.learning import Artifacts, score_windows
 from tidemark.schemas import require_columns
-from tidemark.streaming.arrival import in_order
+from tidemark.streaming.arrival import BUCKET, BUCKETS, Rows, Sessions, by_session, dealt, gathered, in_order
 from tidemark.streaming.controller import SAMPLE_COLUMNS, SCORE_SCHEMA, ScoreProcessor
 from tidemark.streaming.frames import FRAME_VALUES, WINDOW_ROWS, CalibrationProcessor, WindowRowProcessor, window_row_features
 
@@ -28,54 +29,61 @@ ENDED = "ended"
 
 
 class UntilEnded(StatefulProcessor):
-    """Runs ``behind`` on the rows of a session up to a row of kind ``ended``, which clears its state.
+    """Runs ``behind`` on the rows of each session of a bucket, up to a row of kind ``ended``, which clears the session's state.
 
-    An operator of the chain gets all rows of a stretch of time in one micro-batch and later times in later ones, so the rows
-    of a micro-batch only have to be sorted. With ``passes_on`` the ended row goes to the next operator.
+    ``behind`` is a processor with value states and ``flush``, which gets ``Rows``. An operator of the chain gets all rows of a
+    stretch of time in one micro-batch and later times in later ones, so the rows of a micro-batch only have to be sorted. With
+    ``passes_on`` the ended row goes to the next operator. Every output column is present.
     """
 
-    def __init__(self, behind: StatefulProcessor, at: str, passes_on: bool) -> None:
-        self.behind, self.at, self.passes_on = behind, at, passes_on
+    def __init__(self, behind: StatefulProcessor, at: str, passes_on: bool, columns: Sequence[str], key: str = "session_id") -> None:
+        self.behind, self.at, self.passes_on, self.columns, self.key = behind, at, passes_on, list(columns), key
+        behind.flushes = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.behind.init(handle)
+        self.sessions = Sessions(handle)
+        self.behind.init(self.sessions)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        if not (batch["kind"] == ENDED).any():
-            yield from self.behind.handleInputRows(key, iter([batch]), timerValues)
-            return
-        batch = batch.assign(_ended=batch["kind"] == ENDED).sort_values([self.at, "_ended"], kind="stable", ignore_index=True)
-        ended = batch.pop("_ended").to_numpy()
-        lo = 0
-        for hi in [*ended.nonzero()[0].tolist(), len(batch)]:
-            if lo < hi:
-                yield from self.behind.handleInputRows(key, iter([batch.iloc[lo:hi].reset_index(drop=True)]), timerValues)
-            if hi < len(batch):
-                list(self.behind.ended(key, None, 0))
-                if self.passes_on:
-                    yield pd.DataFrame([{"session_id": key[0], self.at: batch[self.at].iloc[hi], "kind": ENDED}])
-            lo = hi + 1
+        _, sessions = self.sessions.bucket()
+        found: dict[Any, list[tuple]] = {}
+        for batch in rows:
+            names = list(batch.columns)
+            for session, new in by_session(batch, self.key, names, {}).items():
+                found.setdefault(session, []).extend(new)
+        for out in gathered(self._worked(found, names, sessions, timerValues)):
+            yield out if list(out.columns) == self.columns else out.reindex(columns=self.columns)
+        self.sessions.flush(None, sessions)
+
+    def _worked(
+        self, found: dict[Any, list[tuple]], names: list[str], sessions: dict[Any, tuple[int | None, bytes]], timerValues: TimerValues
+    ) -> Iterator[list[dict]]:
+        at, kind = names.index(self.at), names.index("kind")
+        for session, rows in found.items():
+            rows.sort(key=lambda row: (row[at], row[kind] == ENDED))
+            self.sessions.open(sessions.get(session, (None, None))[1])
+            lo = 0
+            for hi in [i for i, row in enumerate(rows) if row[kind] == ENDED] + [len(rows)]:
+                if lo < hi:
+                    yield from self.behind.handleInputRows((session,), iter([Rows(rows[lo:hi], names)]), timerValues)
+                if hi < len(rows):
+                    yield from self.behind.ended((session,), None, 0)
+                    if self.passes_on:
+                        yield [dict.fromkeys(self.columns) | {self.key: session, self.at: rows[hi][at], "kind": ENDED}]
+                lo = hi + 1
+            self.behind.flush()
+            packed = self.sessions.packed()
+            if packed is not None:
+                sessions[session] = (None, packed)
+            else:
+                sessions.pop(session, None)
 
     def close(self) -> None:
         self.behind.close()
 
 
-class _Filled(UntilEnded):
-    """The same, with every output column present."""
-
-    def __init__(self, behind: StatefulProcessor, at: str, passes_on: bool, columns: list[str]) -> None:
-        super().__init__(behind, at, passes_on)
-        self.columns = columns
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for out in super().handleInputRows(key, rows, timerValues):
-            yield out if list(out.columns) == self.columns else out.reindex(columns=self.columns)
-
-
-def _keyed(stream: DataFrame, processor: StatefulProcessor, output: StructType | str) -> DataFrame:
-    return stream.groupBy("session_id").transformWithStateInPandas(
+def _keyed(stream: DataFrame, processor: StatefulProcessor, output: StructType | str, buckets: int) -> DataFrame:
+    return stream.withColumn(BUCKET, dealt("session_id", buckets)).groupBy(BUCKET).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="None"
     )
 
@@ -101,6 +109,7 @@ def live_scores(
     phase: str = "learning_easy",
     plan: StudyPlan = StudyPlan(),
     quality: StudyQuality = StudyQuality(),
+    buckets: int = BUCKETS,
     **arrival,
 ) -> DataFrame:
     """Smoothed scores and controller actions of a stream of frames (session_id, at, received and the frame's values).
@@ -110,13 +119,13 @@ def live_scores(
     """
     base = artifacts.spec["base_features"]
     spec = EngineeredFeatures(list(base))
-    windows = live_windows(frames, config, **arrival)
+    windows = live_windows(frames, config, buckets=buckets, **arrival)
     carried = ["kind", "valid_frame_ratio", "std_brightness"]
     schema = "session_id string, emitted_at double, kind string, valid_frame_ratio double, std_brightness double"
     schema += "".join(f", {f} double" for f in spec.all)
     names = ["session_id", "emitted_at", *carried, *spec.all]
     source = windows.select("session_id", "emitted_at", *dict.fromkeys([*carried, *base]))
-    calibrated = _keyed(source, _Filled(CalibrationProcessor(base, carried, n_windows), "emitted_at", True, names), schema)
+    calibrated = _keyed(source, UntilEnded(CalibrationProcessor(base, carried, n_windows), "emitted_at", True, names), schema, buckets)
     scored = score_windows(calibrated, artifacts)
     samples = scored.select(
         "session_id",
@@ -130,5 +139,5 @@ def live_scores(
         "kind",
     )
     columns = [f.split()[0] for f in SCORE_SCHEMA.split(",")]
-    behind = _Filled(ScoreProcessor(plan=plan, quality=quality), "timestamp_ms", False, columns)
-    return _keyed(samples.select(*SAMPLE_COLUMNS, "kind"), behind, SCORE_SCHEMA)
+    behind = UntilEnded(ScoreProcessor(plan=plan, quality=quality), "timestamp_ms", False, columns)
+    return _keyed(samples.select(*SAMPLE_COLUMNS, "kind"), behind, SCORE_SCHEMA, buckets)
